@@ -1,0 +1,31 @@
+"""Topic segments of conversations: boundaries between turns, gaps and islands, short segments merged."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window as W
+
+from ..functions import patterns as P, text as T
+
+
+def _apart(a: Column, b: Column) -> Column:
+    shared = F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
+    return (F.size(a) > 0) & (F.size(b) > 0) & (shared < 0.2)
+
+
+def boundaries(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
+    w = W.partitionBy(conv).orderBy(turn)
+    rows = turns.withColumn("techs", T.which(F.lower(text), P.TECHS)).withColumn("concepts", T.which(F.lower(text), P.CONCEPTS))
+    shift = _apart(F.lag("techs").over(w), F.col("techs")) | _apart(F.lag("concepts").over(w), F.col("concepts"))
+    new = (F.row_number().over(w) > 1) & (T.any_of(F.col(text), P.TOPIC_CHANGES) | F.coalesce(shift, F.lit(False)))
+    return rows.withColumn("boundary", new)
+
+
+def segments(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text", least: int = 100) -> DataFrame:
+    """(conv, segment, first_turn, last_turn, n_turns, n_chars): a short segment joins the one before it."""
+    w = W.partitionBy(conv).orderBy(turn)
+    rows = boundaries(turns, conv, turn, text).withColumn("_s", F.sum(F.col("boundary").cast("int")).over(w))
+    parts = rows.groupBy(conv, "_s").agg(F.min(turn).alias("first_turn"), F.max(turn).alias("last_turn"), F.count("*").alias("n_turns"), F.sum(F.char_length(text)).alias("n_chars"))
+    v = W.partitionBy(conv).orderBy("_s")
+    parts = parts.withColumn("segment", F.sum(((F.col("_s") == 0) | (F.col("n_chars") >= least)).cast("int")).over(v) - 1)
+    return parts.groupBy(conv, "segment").agg(F.min("first_turn").alias("first_turn"), F.max("last_turn").alias("last_turn"), F.sum("n_turns").alias("n_turns"), F.sum("n_chars").alias("n_chars"))
