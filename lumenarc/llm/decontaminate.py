@@ -22,6 +22,8 @@ END = "\x00"
 #: Rows up to which a side of a join is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 500_000
 RARE = 3
+#: Positions, as a power of two, in one stretch of a document.
+STRETCH = 7
 
 
 class Index(NamedTuple):
@@ -79,11 +81,14 @@ def phrase_matches(index: Index, classes: DataFrame, window: int = 13) -> DataFr
     wanted = _side(wanted.select(F.col("doc_id").alias("d"), F.col("key").alias("k")))
     at = lambda pos, tid: F.shiftleft(pos.cast("long"), 31) + tid
     lists = index.postings.filter("tid > 0").join(wanted, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
-    lists = lists.groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.collect_set(at(F.col("pos"), F.col("tid"))).alias("there"))
+    # lists and alignments meet in stretches of positions, so a long or monotonous text is no long list
+    lists = lists.groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k"), F.shiftright("pos", STRETCH).alias("s")).agg(F.collect_set(at(F.col("pos"), F.col("tid"))).alias("there"))
     tids = own.groupBy("cls").agg(F.transform(F.sort_array(F.collect_list(F.struct("ipos", "tid"))), lambda x: x["tid"]).alias("tids"))
-    full = lined.join(lists, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))).join(tids, "cls")
-    due = F.filter(F.transform("tids", lambda t, i: at(F.col("start") + i, t)), lambda x: x >= 0)
-    full = full.select("doc_id", "key", "cls", "w", "start", F.transform(F.array_intersect(due, F.col("there")), lambda x: F.shiftright(x, 31).cast("int")).alias("p"))
+    due = lined.join(tids, "cls").withColumn("stretch", F.explode(F.sequence(F.shiftright(F.greatest("start", F.lit(0)), STRETCH), F.shiftright(F.col("start") + F.size("tids") - 1, STRETCH))))
+    full = due.join(lists, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("stretch") == F.col("s")))
+    line = F.filter(F.transform("tids", lambda t, i: at(F.col("start") + i, t)), lambda x: x >= 0)
+    full = full.select("doc_id", "key", "cls", "w", "start", F.array_intersect(line, F.col("there")).alias("p")).groupBy("doc_id", "key", "cls", "w", "start").agg(F.sort_array(F.flatten(F.collect_list("p"))).alias("p"))
+    full = full.withColumn("p", F.transform("p", lambda x: F.shiftright(x, 31).cast("int")))
     last = F.size("p") - F.col("w")
     runs = F.when(last >= 0, F.filter(F.sequence(F.lit(0), last), lambda k: F.get("p", k + F.col("w") - 1) - F.get("p", k) == F.col("w") - 1))
     full = full.select("doc_id", "key", "cls", "start", F.array_distinct(F.flatten(F.transform(runs, lambda k: F.sequence(F.get("p", k), F.get("p", k) + F.col("w") - 1)))).alias("hits"))

@@ -149,7 +149,7 @@ def search(vectors: DataFrame, is_query: str, top: int = 20, id_col: str = "vec_
     placed = materialize(distinct.select("c", "v").mapInPandas(keyed(False), f"c long, v {kind}, curve int, key long"), "keys")
     bins = int(min(MOST_BINS, max(1, n // 32)))
     marks = placed.groupBy("curve").agg(F.percentile_approx("key", [k / bins for k in range(1, bins)] or [0.5], max(10_000, 2 * bins)).alias("e"))
-    edges = {x.curve: np.array(x.e) for x in marks.collect()}  # CURVES times MOST_BINS at most
+    edges = {x.curve: np.array(x.e)[: bins - 1] for x in marks.collect()}  # CURVES times MOST_BINS at most
 
     # window widths: where do the true neighbours of the sampled queries stand, in bins from the query?
     probe = asked.orderBy(F.xxhash64("q")).limit(SAMPLE_QUERIES).toPandas()

@@ -188,6 +188,12 @@ def identify(docs: DataFrame) -> DataFrame:
 def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """docs without the rows whose language is unknown or less than `least` sure; a null lang gets the prediction."""
     model = train(docs.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()))
-    rows = predict(docs, model, docs.columns)
-    kept = rows.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    # a prediction depends on the text alone, so its hash names it; only what is rejected or filled in is joined
+    said = docs.select(F.xxhash64("text").alias("h"), F.col("lang").isNull().alias("missing"), "text")
+    said = materialize(predict(said, model, ["h", "missing"]), "predictions")
+    good = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)
+    bad = said.filter(~good).select(F.col("h").alias("__h")).distinct()
+    fill = said.filter(good & F.col("missing")).groupBy(F.col("h").alias("__f")).agg(F.first("lang_pred").alias("__lang"))
+    kept = docs.withColumn("__h", F.xxhash64("text")).join(bad, "__h", "left_anti")
+    kept = kept.join(fill, F.col("lang").isNull() & (F.col("__h") == F.col("__f")), "left")
+    return kept.withColumn("lang", F.coalesce("lang", "__lang")).select(docs.columns)

@@ -105,9 +105,9 @@ def _discounted(counts: DataFrame, context: list[str], order: int) -> DataFrame:
     """
     one = lambda k: F.sum(F.when(F.col("n") == k, 1).otherwise(0)).cast("double")
     few = counts.groupBy("lang").agg(*[one(k).alias(f"n{k}") for k in (1, 2, 3, 4)])
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
     for k in (1, 2, 3):
-        d = F.lit(float(k)) - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")
+        d = F.lit(float(k)) - F.try_divide((k + 1) * y * F.col(f"n{k + 1}"), F.col(f"n{k}"))
         few = few.withColumn(f"d{k}", F.when((F.col("n1") > 0) & (F.col(f"n{k}") > 0) & d.between(0.05, k - 0.05), d).otherwise(F.lit(0.5 if k == 1 else 1.0)))
     few = few.select("lang", "d1", "d2", "d3")
     rows = counts.join(F.broadcast(few), "lang").withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
