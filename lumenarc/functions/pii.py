@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..workspace import plain
 from . import patterns as P
 
 
@@ -95,7 +96,7 @@ def scrub(df: DataFrame, text: str = "text", mode: str = "redact", types: list[s
                 for k, a, b, v, _, _ in reversed(found):
                     t = t[:a] + MODES[mode](k, v) + t[b:]
                 out.append(t)
-            yield x.assign(scrubbed=out, matches=spans)
+            yield plain(x.assign(scrubbed=out, matches=spans))
 
     kind = "array<struct<type:string,start:int,end:int,value:string,context:string,severity:int,confidence:double,token:string>>"
     return df.mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + f", scrubbed string, matches {kind}")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -33,3 +34,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def small_enough(df: DataFrame, rows: int) -> bool:
     """True if df has at most so many rows; reads no more than it needs to know."""
     return df.limit(rows + 1).count() <= rows
+
+
+def plain(x: pd.DataFrame) -> pd.DataFrame:
+    """x with strings as objects: pandas' own string columns can come in chunks, which Arrow batches don't take."""
+    return x.astype({c: object for c in x.columns if isinstance(x[c].dtype, pd.StringDtype)})
