@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
-from ..workspace import materialize
+from ..workspace import materialize, plain
 
 BUCKETS = 1 << 15
 #: Rows that the classifier is fitted on, at most; shared out evenly among the languages.
@@ -131,7 +131,7 @@ def train(rows: DataFrame) -> Model:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             both = [_vector(t, idf) for t in x["text"]]
-            yield pd.DataFrame({"lang": x["lang"], "h": x["h"], "at": [a.astype(np.int16).tobytes() for a, _ in both], "x": [v.astype(np.float32).tobytes() for _, v in both]})
+            yield plain(pd.DataFrame({"lang": x["lang"], "h": x["h"], "at": [a.astype(np.int16).tobytes() for a, _ in both], "x": [v.astype(np.float32).tobytes() for _, v in both]}))
 
     got = _sample(rows).mapInPandas(run, "lang string, h long, at binary, x binary").toPandas().sort_values(["h", "lang"])
     langs = sorted(got["lang"].unique())
@@ -165,7 +165,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                     p = np.exp(s - s.max())
                     best = int(p.argmax())
                     pred[k], score[k] = m.langs[best], p[best] / p.sum()
-            yield x[keep].assign(lang_pred=pred, score=score)
+            yield plain(x[keep].assign(lang_pred=pred, score=score))
 
     rows = docs.select(*keep, F.col("text").alias("_text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
     kept = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)

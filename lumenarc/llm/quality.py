@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
-from ..workspace import materialize, small_enough
+from ..workspace import materialize, plain, small_enough
 
 #: Symbols: 0 is any other character, 1 the edge of a text, the rest are the most frequent characters.
 SYMBOLS = 96
@@ -79,7 +79,7 @@ def _count(rows: DataFrame, lut: np.ndarray) -> DataFrame:
         def out(lang: str, parts: list[np.ndarray]) -> pd.DataFrame:
             n = np.bincount(np.concatenate(parts), minlength=1)
             at = np.flatnonzero(n)
-            return pd.DataFrame({"lang": lang, "g": at.astype(np.int32), "n": n[at]})
+            return plain(pd.DataFrame({"lang": lang, "g": at.astype(np.int32), "n": n[at]}))
 
         for x in batches:
             for lang, text in zip(x["lang"], x["text"], strict=True):
@@ -164,7 +164,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                 n[k] = len(text or "")
                 if n[k] and lang in tables:
                     bits[k] = -tables[lang][_codes(text, lut)].sum(dtype=np.float64)
-            yield x[keep].assign(lang_model=langs, n_chars_scored=n, bits=bits)
+            yield plain(x[keep].assign(lang_model=langs, n_chars_scored=n, bits=bits))
 
     rows = docs.select(*keep, F.col("lang").alias("_lang"), F.col("text").alias("_text"))
     kept = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
@@ -181,7 +181,7 @@ def score_by_joins(docs: DataFrame, model: Model) -> DataFrame:
         for x in batches:
             for i, lang, text in zip(x["doc_id"], x["lang"], x["text"], strict=True):
                 g, n = np.unique(_codes(text or "", lut), return_counts=True)
-                yield pd.DataFrame({"doc_id": i, "lang": lang if lang in known else POOLED, "a": g // SYMBOLS**2, "b": g // SYMBOLS % SYMBOLS, "c": g % SYMBOLS, "k": n})
+                yield plain(pd.DataFrame({"doc_id": i, "lang": lang if lang in known else POOLED, "a": g // SYMBOLS**2, "b": g // SYMBOLS % SYMBOLS, "c": g % SYMBOLS, "k": n}))
 
     own = docs.select("doc_id", "lang", "text").mapInPandas(run, "doc_id long, lang string, a int, b int, c int, k long")
     part = lambda t, keys, name: t.select("lang", *keys, F.col("p").alias(name))

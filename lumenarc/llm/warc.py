@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, functions as F
 
-from ..workspace import materialize, new_path
+from ..workspace import materialize, new_path, plain
 
 #: Bytes of payload after which a task begins the next archive.
 ARCHIVE_BYTES = 256 << 20
@@ -174,7 +174,7 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
                 if size > ARCHIVE_BYTES:
                     close()
         close()
-        yield pd.DataFrame({"path": done})
+        yield plain(pd.DataFrame({"path": done}, dtype=object))
 
     return rows.mapInPandas(run, "path string")
 
@@ -194,7 +194,7 @@ def normalise_all(paths: DataFrame) -> DataFrame:
                 fs, at = _fs(target + ".idx")
                 with fs.open_input_stream(at, compression=None) as f:
                     lines = [json.loads(v) for v in f.read().splitlines()]
-                yield pd.DataFrame({"path": target, "offset": [v["offset"] for v in lines], "length": [v["length"] for v in lines], "type": [v["type"] for v in lines]})
+                yield plain(pd.DataFrame({"path": target, "offset": [v["offset"] for v in lines], "length": [v["length"] for v in lines], "type": [v["type"] for v in lines]}))
 
     return _spread(paths).mapInPandas(run, "path string, offset long, length long, type string")
 
@@ -218,7 +218,7 @@ def read_records(index: DataFrame) -> DataFrame:
                         if kind == "response" and (len(payload) != size or payload_digest(payload) != digest):
                             raise ValueError(f"{path} at {offset}: the payload is not what the record says")
                         rows.append((int(warc["warc-page-id"]) if warc["warc-page-id"] else None, size, digest, kind, int(warc["warc-refers-to-page-id"]) if kind == "revisit" else None))
-            yield pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]).astype({"page_id": "Int64", "payload_bytes": "int64", "refers_to": "Int64"})
+            yield plain(pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]).astype({"page_id": "Int64", "payload_bytes": "int64", "refers_to": "Int64"}))
 
     return index.mapInPandas(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 

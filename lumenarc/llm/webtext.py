@@ -17,6 +17,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..workspace import plain
+
 #: Elements that are blocks, that have no end tag, and that are no content.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -151,7 +153,7 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             text = [main_text(h) for h in x["_html"]]
-            yield x.drop(columns="_html").assign(text=text, n_chars=[len(t) for t in text])
+            yield plain(x.drop(columns="_html").assign(text=text, n_chars=[len(t) for t in text]))
 
     rows = pages.select(*keep, F.col(html_col).alias("_html"))
     kept = ", ".join(f"`{c}` {t}" for c, t in rows.drop("_html").dtypes)
