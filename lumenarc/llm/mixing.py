@@ -16,6 +16,7 @@ from ..workspace import materialize
 
 WORDS = r"[^\x20\x09-\x0D]+"
 CELLS = 4096
+SLOTS_PER_TASK = 100_000
 
 
 def _hash(seed: int, *cols: Column) -> Column:
@@ -110,6 +111,8 @@ def draw(plan: DataFrame, shard_slots: int = 4096, seed: int = 17, rounds: int =
     drawn = materialize(drawn, "drawn")
     before = W.partitionBy("source").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     drawn = drawn.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    # the window deals by source; slots are made by shard, so that a source with most of them is no single task
+    drawn = drawn.repartition(min(10_000, total // SLOTS_PER_TASK + 1), "shard")
     taken = drawn.withColumn("j", F.explode(F.sequence("base", F.col("base") + F.col("n") - 1)))
     kept = taken.filter("j < slots").select("shard", "source", "blocks", "j")
     # the correction: surplus slots, in order, go to what is missing, in order
