@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions import pii, scoring, text as T
-from ..operators import components, context, evaluate, graph, search, segments, tables, trends, vectors
+from ..functions import pii, scoring, stem, text as T
+from ..operators import clusters, components, context, costs, evaluate, graph, search, segments, tables, trends, vectors
 from ..streaming import ingest
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -489,3 +489,24 @@ def stream_ingest_dedup(read):
     folder = ingest.new_path(e.sparkSession, "landing")
     e.union(e).write.parquet(folder)
     return ingest.ingested(e.sparkSession, folder, ["event_id"], "ts").select("event_id", "event_type")
+
+
+@_query("SELECT event_id, round((coalesce(user_id, 0) * CASE WHEN starts_with(event_type, 'purch') THEN 3.0 ELSE 0.5 END + coalesce(length(props), 0) * CASE WHEN starts_with(event_type, 'purch') THEN 15.0 ELSE 1.5 END)::DOUBLE / 1e6, 9) AS cost_usd FROM events")
+def token_costs(read):
+    calls = read("events").select("event_id", F.col("event_type").alias("model"), F.col("user_id").alias("input_tokens"), F.char_length("props").alias("output_tokens"))
+    return costs.token_costs(calls, {"purch": (3.0, 15.0)}, (0.5, 1.5)).select("event_id", F.round("cost_usd", 9).alias("cost_usd"))
+
+
+@_query("SELECT count(*) AS n, count(*)::DOUBLE * 0.025 AS cost_usd FROM documents")
+def cost_estimate(read):
+    return costs.estimate(read("documents").select("doc_id"), 0.025)
+
+
+@_query()
+def stemmed_vocabulary(read):
+    return stem.stems(read("documents").select(F.explode(search.tokens(F.col("text"))).alias("term")))
+
+
+@_query()
+def kmeans_clusters(read):
+    return clusters.kmeans(read("embeddings"), "vec_id", "embedding")
