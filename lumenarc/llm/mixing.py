@@ -17,6 +17,8 @@ from ..workspace import materialize
 WORDS = r"[^\x20\x09-\x0D]+"
 CELLS = 4096
 SLOTS_PER_TASK = 100_000
+#: Shards whose counts are summed in one group, before the groups of a source are.
+SHARDS_PER_GROUP = 4096
 
 
 def _hash(seed: int, *cols: Column) -> Column:
@@ -61,23 +63,31 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     return rows.select("source", "source_size", "weight", target.alias("target"))
 
 
-def pack(docs: DataFrame, block: int = 64, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", bucket_docs: int = 20_000) -> DataFrame:
+def _before(rows: DataFrame, value: str, bucket: str, order: list[str]) -> DataFrame:
+    """rows, and in `before` the sum of value over the rows of their source that come earlier, by bucket, then by order.
+
+    It is summed in two levels, first in the buckets, then over the buckets of a source, so a source with most of the
+    rows is no single task.
+    """
+    inside = W.partitionBy("source", bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    over = W.partitionBy("source").orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+    sums = rows.groupBy("source", bucket).agg(F.sum(value).alias("n"))
+    sums = sums.select(F.col("source").alias("_s"), F.col(bucket).alias("_b"), F.coalesce(F.sum("n").over(over), F.lit(0)).alias("_base"))
+    own = rows.withColumn("_own", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    joined = own.join(sums, F.col("source").eqNullSafe(F.col("_s")) & (F.col(bucket) == F.col("_b")))
+    return joined.withColumn("before", F.col("_base") + F.col("_own")).drop("_s", "_b", "_base", "_own")
+
+
+def pack(docs: DataFrame, block: int = 64, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", bucket_docs: int = 2_000) -> DataFrame:
     """(doc_id, source, size, start): where each document's words stand in its source's stream.
 
-    The order is that of a hash of the id, then the id. Offsets are summed in two levels, first in buckets by hash, then
-    over the buckets of a source, so a source with most of the documents is no single task.
+    The order is that of buckets by a hash of id and text, then of the hash, then of the id.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), _hash(11, F.col(id_col), F.col(text_col)).alias("h"))
     rows = materialize(rows, "sizes")
     buckets = rows.count() // bucket_docs + 1
     rows = rows.withColumn("bucket", F.pmod("h", F.lit(buckets)))
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
-    before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = W.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("own", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    joined = rows.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    return joined.select("doc_id", "source", "size", (F.col("base") + F.col("own")).alias("start"))
+    return _before(rows, "size", "bucket", ["h", "doc_id", "size"]).select("doc_id", "source", "size", F.col("before").alias("start"))
 
 
 def quotas(plan: DataFrame, block: int) -> DataFrame:
@@ -109,9 +119,8 @@ def draw(plan: DataFrame, shard_slots: int = 4096, seed: int = 17, rounds: int =
     slots = spark.range(total).select((F.col("id") / shard_slots).cast("long").alias("shard"), F.pmod(_hash(seed, F.col("id")), F.lit(max(total, 1))).alias("u"))
     drawn = _find(slots, "u", spans, total).groupBy("shard", "source", "blocks", "slots").agg(F.count("*").alias("n"))  # multinomial counts a shard
     drawn = materialize(drawn, "drawn")
-    before = W.partitionBy("source").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-    drawn = drawn.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    # the window deals by source; slots are made by shard, so that a source with most of them is no single task
+    drawn = _before(drawn.withColumn("group", F.floor(F.col("shard") / SHARDS_PER_GROUP)), "n", "group", ["shard"]).withColumnRenamed("before", "base")
+    # the sums deal by source and group; slots are made by shard, so that a source with most of them is no single task
     drawn = drawn.repartition(min(10_000, total // SLOTS_PER_TASK + 1), "shard")
     taken = drawn.withColumn("j", F.explode(F.sequence("base", F.col("base") + F.col("n") - 1)))
     kept = taken.filter("j < slots").select("shard", "source", "blocks", "j")
