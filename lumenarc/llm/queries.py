@@ -111,7 +111,17 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coa
 FROM d LEFT JOIN hits h USING (doc_id) LEFT JOIN items x USING (doc_id)
 """
 
+#: Five hexadecimal digits of a SHA-1 are four digits of base 32.
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id FROM pages),
+d AS (SELECT *, sha1(payload) AS hex, page_id IS DISTINCT FROM first_id AS again FROM p)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0x' || substr(hex, 1 + 5 * (i // 4), 5))::INTEGER >> (15 - 5 * (i % 4))::INTEGER) % 32, 1) FOR i IN range(32)], '') AS payload_digest,
+  CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first_id END AS refers_to
+FROM d
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL for what SQL can express; the others are tested against brute force, exact round trips or held-out rows."""
-    return {"op5_chat_format": OP5_SQL, "op6_decontaminate": OP6_SQL}
+    return {"op5_chat_format": OP5_SQL, "op6_decontaminate": OP6_SQL, "op8_warc": OP8_SQL}
