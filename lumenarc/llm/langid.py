@@ -72,12 +72,15 @@ def _frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _sample(rows: DataFrame) -> DataFrame:
-    """(lang, h, text) of at most SAMPLE_ROWS rows: of each language those with the smallest hashes."""
+    """(lang, h, text) of at most SAMPLE_ROWS rows: of each language the different texts with the smallest hashes."""
     rows = rows.select("lang", "text", F.xxhash64("text", F.lit(5)).alias("h"))
-    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_ROWS).count()
-    each = max(1, SAMPLE_ROWS // max(1, langs))
-    keys = rows.select("lang", "h").withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= each)
-    keys = keys.groupBy("lang", "h").agg(F.count("*").alias("_n")).orderBy("lang", "h").limit(SAMPLE_ROWS)
+    keys = materialize(rows.select("lang", "h").distinct(), "hashes")
+    langs = materialize(keys.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE_ROWS), "langs")
+    each = max(1, SAMPLE_ROWS // max(1, langs.count()))
+    # hashes are even over their range, so its lowest part holds about twice the wanted texts, however many there are
+    low = (F.col("h") / F.lit(2.0**64) + 0.5) * F.col("n") <= 2 * each + 50
+    keys = keys.join(F.broadcast(langs), "lang").filter(low)
+    keys = keys.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= each).select("lang", "h")
     return rows.join(F.broadcast(keys), ["lang", "h"]).select("lang", "h", "text").dropDuplicates(["lang", "h"])
 
 
