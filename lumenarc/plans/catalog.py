@@ -313,6 +313,38 @@ def project_overlap(read):
     return context.overlapping_roots(rows, "s_nationkey", "l_partkey")
 
 
+# The queries of the same names without _all, and their SQL, stop at fixed ids; these run on the whole tables.
+_ALL_PAIRS = "WITH x AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), e AS (SELECT a.l_partkey AS a, b.l_partkey AS b, count(*) AS groups, count(*) + 1.0 AS weight FROM x a JOIN x b USING (l_orderkey) WHERE a.l_partkey < b.l_partkey GROUP BY 1, 2)"
+
+
+@_query(f"{_ALL_PAIRS} SELECT a, b, groups, weight::DOUBLE AS weight FROM e")
+def cooccurrence_edges_all(read):
+    return graph.edges(read("lineitem"), "l_orderkey", "l_partkey")
+
+
+@_query(f"{_ALL_PAIRS} SELECT CASE WHEN a = 11 THEN b ELSE a END AS entity, weight::DOUBLE AS weight FROM e WHERE a = 11 OR b = 11 ORDER BY weight DESC, entity LIMIT 10")
+def graph_related_all(read):
+    return graph.related(graph.edges(read("lineitem"), "l_orderkey", "l_partkey"), 11)
+
+
+@_query()
+def graph_components_all(read):
+    return components.connected_components(read("orders").select(F.col("o_custkey").alias("src"), (-F.floor(F.col("o_orderkey") / 40) - 1).alias("dst")))
+
+
+@_query("""WITH x AS (SELECT event_id AS id, epoch_us(ts) AS t, event_type || '|' || user_id AS e FROM events)
+  SELECT a.id AS a, b.id AS b, count(DISTINCT a.e) AS shared, round(min((b.t - a.t) / 3.6e9), 6) AS hours_apart FROM x a JOIN x b ON a.e = b.e AND (a.t < b.t OR (a.t = b.t AND a.id < b.id)) AND b.t - a.t <= 86400000000 GROUP BY 1, 2""")
+def similar_pairs_window_all(read):
+    ev = read("events").filter("event_type is not null and user_id is not null").withColumn("e", F.concat_ws("|", "event_type", F.col("user_id").cast("string")))
+    return context.band_pairs(ev, "event_id", "ts", "e", 24, 1).withColumn("hours_apart", F.round("hours_apart", 6))
+
+
+@_query("""WITH b AS (SELECT DISTINCT s_nationkey AS r, l_partkey AS m FROM lineitem JOIN supplier ON l_suppkey = s_suppkey), n AS (SELECT r, count(*) AS n FROM b GROUP BY 1)
+  SELECT x.r AS a, y.r AS b, count(*) AS shared FROM b x JOIN b y USING (m) JOIN n p ON p.r = x.r JOIN n q ON q.r = y.r WHERE x.r < y.r GROUP BY 1, 2, p.n, q.n HAVING count(*) >= 0.5 * least(p.n, q.n)""")
+def project_overlap_all(read):
+    return context.overlapping_roots(read("lineitem").join(read("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("s_nationkey", "l_partkey"), "s_nationkey", "l_partkey")
+
+
 _GROW = """, y AS (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY period) - 1 AS i, count(*) OVER (PARTITION BY {k}) AS c FROM s),
   g AS (SELECT {k}, max(c) AS periods, coalesce(sum(n) FILTER (i < c // 2), 0) / greatest(max(c // 2), 1) AS early, coalesce(sum(n) FILTER (i >= c // 2), 0) / greatest(max(c - c // 2), 1) AS late FROM y GROUP BY {k}),
   h AS (SELECT *, CASE WHEN periods < 2 THEN 0 WHEN early > 0 THEN (late - early) / early * 100 WHEN late > 0 THEN 100 ELSE 0 END AS growth FROM g)
