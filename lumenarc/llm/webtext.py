@@ -2,8 +2,9 @@
 
 The standard library's streaming parser gives events; each block of the page becomes a line with its text, its tags and
 its place in the tree. Parts that are no content by their element, role or class are left out as they stream by. The
-text-to-tag ratios of the remaining lines are smoothed along the page and cut at a threshold in two clusters; the
-element that holds the content cluster is the content region, and all its lines, short ones too, make up the text.
+text-to-tag ratios of the remaining lines are smoothed along the page and cut at a threshold in two clusters. The
+articles, or main, or else the smallest container that holds all of the content cluster are the content region; all its
+lines, short ones too, make up the text, with lines outside that are content of themselves.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ WORDS = frozenset("ad ads advert adverts advertisement advertising adbox adslot
 #: Elements that an opening tag of the same kind, or any block, ends.
 CLOSED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option", "optgroup"}}
 _PARTS = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
+#: Elements that can be the region; others, as lists, tables and quotes, are parts of one.
+CONTAINERS = frozenset("html body article main div center td".split())
 SIGMA = 1.5
 
 
@@ -125,21 +128,34 @@ def main_text(html: str | None) -> str:
     linked = np.array([n for _, _, n, _ in lines]) / length
     # a line of links is none of content's; a ratio counts for no more than a long paragraph's
     score = _smooth(np.minimum(ratio, 400.0) * (1 - np.minimum(linked, 1.0)))
-    content = score >= min(float(score.std()), float(score.max()) / 2)
-    # the region: the innermost element that holds the content cluster, or most of it if there is a lone outlier
+    limit = min(float(score.std()), float(score.max()) / 2)
+    content = score >= limit
     mass: dict[int, float] = {}
     for k in np.flatnonzero(content):
         for n in lines[k][3]:
             mass[n] = mass.get(n, 0.0) + length[k]
-    total = float(length[content].sum())
-    marked = [n for n in mass if parser.kinds[n] in ("article", "main") and mass[n] >= 0.2 * total]
-    if marked:
-        best = max(marked, key=lambda n: (parser.kinds[n] == "article", mass[n], -n))
-        chosen = {n for n in marked if parser.kinds[n] == parser.kinds[best]}
+    marked = {kind: {n for n in mass if parser.kinds[n] == kind} for kind in ("article", "main")}
+    held = {kind: float(sum(length[k] for k in np.flatnonzero(content) if not own.isdisjoint(lines[k][3]))) for kind, own in marked.items()}
+    if held["article"] or held["main"]:
+        # all articles, unless main holds more than they do beyond what stands in both
+        chosen = marked["main" if held["article"] < 0.8 * held["main"] else "article"]
     else:
-        chosen = {max((n for n in mass if mass[n] >= 0.8 * total and parser.kinds[n] in BLOCKS and parser.kinds[n] not in ("p", "li", "h1")), default=0)}
-    inside = [k for k, x in enumerate(lines) if chosen == {0} or not chosen.isdisjoint(x[3])]
-    return "\n".join(lines[k][0] for k in inside if marked or content[k] or linked[k] < 0.5)
+        chosen = {_region(parser, lines, np.flatnonzero(content))}
+    inside = [chosen == {0} or not chosen.isdisjoint(x[3]) for x in lines]
+    # a line outside that is content by its own ratio, not by its neighbours', stays
+    alone = content & (np.minimum(ratio, 400.0) >= limit) & (linked < 0.5)
+    whole = held["article"] or held["main"]
+    return "\n".join(lines[k][0] for k in range(len(lines)) if (whole or content[k] or linked[k] < 0.5 if inside[k] else alone[k]))
+
+
+def _region(parser: _Lines, lines: list, content: np.ndarray) -> int:
+    """The smallest container that holds all content lines and, if one does short of the body, a title; 0 for the page."""
+    path = lines[content[0]][3]
+    shared = [n for n in path if all(n in lines[k][3] for k in content)]
+    holders = [n for n in shared if parser.kinds[n] in CONTAINERS]
+    titles = [x[3] for x in lines if any(parser.kinds[n] == "h1" for n in x[3])]
+    titled = [n for n in holders if parser.kinds[n] not in ("body", "html") and any(n in x for x in titles)]
+    return max(titled or holders, default=0)
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
