@@ -1,7 +1,8 @@
 """Main text of web pages: parser events, text-to-tag ratio per line, Gaussian smoothing, threshold clustering.
 
 The standard library's streaming parser gives events; each block of the page becomes a line with its text, its tags and
-its place in the tree. Parts that are no content by their element, role or class are left out as they stream by. The
+its place in the tree. Parts that are no content by their element or role are left out as
+they stream by; those that a class or id names, at the end of the page, unless they hold most of its text. The
 text-to-tag ratios of the remaining lines are smoothed along the page and cut at a threshold in two clusters. The
 articles, or main, or else the smallest container that holds all of the content cluster are the content region; all its
 lines, short ones too, make up the text, with lines outside that are content of themselves.
@@ -29,7 +30,9 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 WORDS = frozenset("ad ads advert adverts advertisement advertising adbox adslot sponsor sponsored sponsors promo promoted promotion banner sidebar sidebars aside nav navbar navigation menu menus breadcrumb breadcrumbs footer footnav masthead topbar toolbar cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments commentlist disqus respond reply replies discussion related recommended recommendations widget pagination pager skip search form copyright legal outbrain taboola".split())
 #: Elements that an opening tag of the same kind, or any block, ends.
 CLOSED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option", "optgroup"}}
-_PARTS = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
+#: Those of the words that as an id are ordinary anchors of an article's parts.
+ANCHORS = frozenset("discussion related legal notice notices search form share sharing social skip promotion copyright comment respond reply replies recommended recommendations subscription advertising overlay consent widget".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that can be the region; others, as lists, tables and quotes, are parts of one.
 CONTAINERS = frozenset("html body article main div center td".split())
 SIGMA = 1.5
@@ -45,6 +48,7 @@ class _Lines(HTMLParser):
         self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []
         self.buffer: list[str] = []
         self.tags = self.linked = self.links = self.count = 0
+        self.named: set[int] = set()  # elements whose class or id says that they are no content
 
     def flush(self) -> None:
         text = " ".join("".join(self.buffer).split())
@@ -73,15 +77,20 @@ class _Lines(HTMLParser):
         if tag in VOID:
             return
         out = self.left_out() or tag in SKIPPED or (tag == "header" and not any(n in ("article", "main") for n, _, _ in self.open))
+        named = False
         if attrs and not out and tag not in ("html", "body", "article", "main"):
             for key, value in attrs:
                 if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value and value.strip().lower() in ROLES:
                     out = True
-                elif key in ("class", "id") and value and not WORDS.isdisjoint(x.lower() for x in _PARTS.split(value)):
-                    out = True
+                elif key == "class" and value and tag not in HEADINGS and not WORDS.isdisjoint(value.lower().split()):
+                    named = True
+                elif key == "id" and value and tag not in HEADINGS and value.strip().lower() in WORDS - ANCHORS:
+                    named = True
                 elif key == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                     out = True
         self.count += 1
+        if named:
+            self.named.add(self.count)
         self.links += tag == "a"
         self.open.append((tag, self.count, out))
         self.kinds[self.count] = tag
@@ -120,7 +129,7 @@ def main_text(html: str | None) -> str:
     parser.feed(html or "")
     parser.close()
     parser.flush()
-    lines = parser.lines
+    lines = _unnamed(parser)
     if not lines:
         return ""
     length = np.array([len(t) for t, _, _, _ in lines], float)
@@ -148,6 +157,23 @@ def main_text(html: str | None) -> str:
     return "\n".join(lines[k][0] for k in range(len(lines)) if (whole or content[k] or linked[k] < 0.5 if inside[k] else alone[k]))
 
 
+def _unnamed(parser: _Lines) -> list:
+    """The lines outside the elements that a class or id names as no content, but for one that holds most of the text."""
+    if not parser.named:
+        return parser.lines
+    mass: dict[int, int] = {}
+    total = 0
+    for text, _, linked, path in parser.lines:
+        own = max(0, len(text) - linked)
+        total += own
+        for n in path:
+            mass[n] = mass.get(n, 0) + own
+    # an article of its own outside says that the named element, long as it may be, is beside it
+    beside = lambda n: any(parser.kinds[m] in ("article", "main") and mass[m] and n not in path and parser.named.isdisjoint(path) for _, _, _, path in parser.lines for m in path)
+    gone = {n for n in parser.named if n in mass and (2 * mass[n] <= total or beside(n))}
+    return [x for x in parser.lines if gone.isdisjoint(x[3])]
+
+
 def _region(parser: _Lines, lines: list, content: np.ndarray) -> int:
     """The smallest container that holds all content lines and, if one does short of the body, a title; 0 for the page."""
     path = lines[content[0]][3]

@@ -29,3 +29,16 @@ def test_main_beside_an_article():
 def test_two_articles():
     many = "".join(f"<p>{LONG}{k}</p>" for k in range(6))
     assert held(f"<article>{many}</article><article><h2>Second</h2><p>{LONG}second</p></article>", "5", "Second", LONG.strip() + " second")
+
+
+def test_names_that_only_sound_like_boilerplate():
+    for name in ("page no-sidebar", "layout with-sidebar", "sidebar", "form"):
+        assert held(f"<div class='{name}'><h1>Title</h1><p>{LONG}</p><p>{LONG}end</p></div>", "Title", "end"), name
+    for anchor in ("discussion", "related-work", "legal-aspects", "search-results", "application-form"):
+        assert held(f"<article><p>{LONG}</p><h2 id={anchor}>Head</h2><section id={anchor}><p>Short part.</p></section><p>{LONG}end</p></article>", "Head", "Short part.", "end"), anchor
+    assert held(f"<article><p>{LONG}</p><h2 class=share>Head</h2></article>", "Head")
+
+
+def test_named_parts_still_go():
+    for part in (f"<div class='box sidebar'><p>{LONG}gone</p></div>", f"<div id=comments><p>{LONG * 9}gone</p></div>"):
+        assert "gone" not in webtext.main_text(f"<body><article><p>{LONG}</p><p>{LONG}</p></article>{part}</body>")
