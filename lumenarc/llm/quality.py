@@ -1,13 +1,16 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of character trigrams, trained on trusted text.
 
 Counts of counts, contexts and continuations come from grouped count tables, sharded and joined in Spark by language and
-n-gram. Symbols are the most frequent characters of the trusted text, so a language's table has at most symbols**3
-entries whatever the corpus: with that proven bound, each document meets the table where it stands. The other route,
-score_by_joins(), deals the documents' n-gram counts out and joins them to the sharded counts; both give the same figures.
+n-gram. Symbols are the most frequent characters of a language's trusted text, so its table has at most symbols**3 entries
+whatever the corpus: with that proven bound, each document meets the table where it stands. What no table holds, the
+characters beyond a language's symbols and the languages beyond the tables, is dealt out as counts of n-grams and joined to
+the sharded counts: a character without a symbol costs the symbol 0 and, after it, itself among all such characters, by a
+second model of the same kind over code points. score_by_joins() takes that route for all; both give the same figures.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -18,31 +21,74 @@ from pyspark.sql.window import Window as W
 
 from ..workspace import materialize, plain, small_enough
 
-#: Symbols: 0 is any other character, 1 the edge of a text, the rest are the most frequent characters.
+#: Symbols: 0 is any other character, 1 the edge of a text, the rest are a language's most frequent characters.
 SYMBOLS = 96
-#: Languages that get a table of their own, those with the most trusted text; the rest use the pooled table.
+#: Languages that get a table of their own, those with the most trusted text; the others' counts are joined.
 LANGUAGES = 24
 POOLED = "*"
 BROADCAST_ROWS = 2_000_000
 
 
+#: One more than the largest code point, and one for the edge of a text.
+_POINTS = 0x110001
+
+
 class Model(NamedTuple):
-    """lut: symbol by code point. tables: by language, log2 probability by trigram. counts: the sharded counts."""
+    """alphabets: the characters with a symbol, by language. tables: by language, log2 probability by trigram. counts, rare: the
+    sharded counts of symbols and of characters without one. coarse: the languages that have such characters. further: the
+    languages without a table."""
 
-    lut: np.ndarray
+    alphabets: dict[str, np.ndarray]
     tables: dict[str, np.ndarray]
     counts: DataFrame
+    rare: DataFrame
+    coarse: frozenset[str]
+    further: frozenset[str]
+
+
+class _Luts(dict):
+    """Symbol by code point, by language."""
+
+    def __init__(self, alphabets: dict[str, np.ndarray]) -> None:
+        self.alphabets = alphabets
+
+    def __missing__(self, lang: str) -> np.ndarray:
+        if len(self) >= 2 * LANGUAGES:
+            self.clear()
+        self[lang] = lut = np.zeros(_POINTS, np.uint8)
+        own = self.alphabets[lang]
+        lut[own] = np.arange(2, len(own) + 2)
+        return lut
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def _codes(text: str, lut: np.ndarray) -> np.ndarray:
     """One trigram code a character of the whole text, with two edges before it."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    points = _points(text)
     s = np.empty(len(points) + 2, np.int32)
     s[:2] = 1
-    s[2:] = lut[np.minimum(points, len(lut) - 1)]
+    s[2:] = lut[points]
     return (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
 
 
+def _rare(text: str, lut: np.ndarray) -> np.ndarray:
+    """A code of code points for each character without a symbol and the two before it, the edge as zero."""
+    points = _points(text)
+    at = np.flatnonzero(lut[points] == 0)
+    if not len(at):
+        return np.zeros(0, np.int64)
+    s = np.zeros(len(points) + 2, np.int64)
+    s[2:] = points + np.int64(1)
+    return (s[at] * (_POINTS + 1) + s[at + 1]) * (_POINTS + 1) + s[at + 2]
+
+
+def _split(codes: np.ndarray, base: int) -> dict[str, np.ndarray]:
+    return {"a": (codes // base**2).astype(np.int32), "b": (codes // base % base).astype(np.int32), "c": (codes % base).astype(np.int32)}
+
+
 def trusted_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(lang, text) of the documents whose labels all say good quality and not toxic."""
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("x")).filter("q = 1 and x = 0").select("doc_id")
@@ -50,51 +96,60 @@ def trusted_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "lang", "text").join(good, "doc_id", "left_semi").select("lang", "text").filter(F.length("text") > 0)
 
 
-def _alphabet(rows: DataFrame) -> np.ndarray:
+def _alphabets(rows: DataFrame) -> dict[str, np.ndarray]:
+    """The most frequent characters of each language's trusted text, and of all, in order of their code points."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(0x110000, np.int64)
         for x in batches:
-            for k in range(0, len(x), 256):
-                points = np.frombuffer("".join(x["text"].iloc[k : k + 256]).encode("utf-32-le", "surrogatepass"), np.uint32)
-                part = np.bincount(points)
-                total[: len(part)] += part
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"point": at, "n": total[at]})
-
-    found = rows.select("text").mapInPandas(run, "point long, n long").groupBy("point").agg(F.sum("n").alias("n"))
-    top = found.orderBy(F.desc("n"), "point").limit(SYMBOLS - 2).collect()
-    lut = np.zeros(0x110001, np.uint8)
-    for k, x in enumerate(sorted(x.point for x in top)):
-        lut[x] = k + 2
-    return lut
-
-
-def _count(rows: DataFrame, lut: np.ndarray) -> DataFrame:
-    """(lang, g, n): the trigrams of all trusted text by language, and pooled over all languages."""
-    shared = rows.sparkSession.sparkContext.broadcast(lut)
+            for lang, own in x.groupby("lang"):
+                for k in range(0, len(own), 256):
+                    n = np.bincount(_points("".join(own["text"].iloc[k : k + 256])))
+                    at = np.flatnonzero(n)
+                    yield plain(pd.DataFrame({"lang": lang, "point": at, "n": n[at]}))
+
+    found = rows.mapInPandas(run, "lang string, point long, n long").groupBy("lang", "point").agg(F.sum("n").alias("n"))
+    found = materialize(found, "characters")
+    pooled = found.groupBy("point").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "point", "n")
+    ranked = found.filter("lang <> ''").unionByName(pooled).withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "point")))
+    out: dict[str, list[int]] = {}
+    for x in ranked.filter(F.col("r") <= SYMBOLS - 2).select("lang", "point").collect():  # at most SYMBOLS a language
+        out.setdefault(x.lang, []).append(x.point)
+    return {lang: np.array(sorted(points)) for lang, points in out.items()}
+
+
+def _count(rows: DataFrame, alphabets: dict[str, np.ndarray]) -> tuple[DataFrame, DataFrame]:
+    """(lang, g, n) and (lang, a, b, c, n): the trigrams of all trusted text, of symbols and of the characters without one.
+
+    Each text counts for its language and, by the alphabet of all, for the pool.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(alphabets)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        luts = _Luts(shared.value)
         held: dict[str, list[np.ndarray]] = {}
+        odd: dict[str, list[np.ndarray]] = {}
 
-        def out(lang: str, parts: list[np.ndarray]) -> pd.DataFrame:
-            n = np.bincount(np.concatenate(parts), minlength=1)
+        def out(lang: str) -> Iterator[pd.DataFrame]:
+            n = np.bincount(np.concatenate(held.pop(lang)), minlength=1)
             at = np.flatnonzero(n)
-            return plain(pd.DataFrame({"lang": lang, "g": at.astype(np.int32), "n": n[at]}))
+            yield plain(pd.DataFrame({"lang": lang, "g": at.astype(np.int32), "a": 0, "b": 0, "c": 0, "n": n[at]}))
+            codes, n = np.unique(np.concatenate(odd.pop(lang)), return_counts=True)
+            yield plain(pd.DataFrame({"lang": lang, "g": -1, **_split(codes, _POINTS + 1), "n": n}))
 
         for x in batches:
             for lang, text in zip(x["lang"], x["text"], strict=True):
-                own = held.setdefault(lang, [])
-                own.append(_codes(text, shared.value))
-                if sum(map(len, own[-64:])) > 8_000_000 or len(own) > 4000:
-                    yield out(lang, held.pop(lang))
-        for lang, parts in held.items():
-            yield out(lang, parts)
+                for name in (lang, POOLED) if lang else (POOLED,):
+                    own = held.setdefault(name, [])
+                    own.append(_codes(text, luts[name]))
+                    odd.setdefault(name, []).append(_rare(text, luts[name]))
+                    if sum(map(len, own[-64:])) > 8_000_000 or len(own) > 4000:
+                        yield from out(name)
+        for lang in list(held):
+            yield from out(lang)
 
-    found = rows.select(F.coalesce("lang", F.lit("")).alias("lang"), "text").mapInPandas(run, "lang string, g int, n long")
-    sums = materialize(found.groupBy("lang", "g").agg(F.sum("n").alias("n")), "trigrams")
-    big = sums.groupBy("lang").agg(F.sum("n").alias("all")).filter("lang <> ''").orderBy(F.desc("all"), "lang").limit(LANGUAGES).select("lang")
-    pooled = sums.groupBy("g").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "g", "n")
-    return materialize(sums.join(F.broadcast(big), "lang", "left_semi").unionByName(pooled), "counts")
+    found = rows.mapInPandas(run, "lang string, g int, a int, b int, c int, n long")
+    sums = materialize(found.groupBy("lang", "g", "a", "b", "c").agg(F.sum("n").alias("n")), "trigrams")
+    return sums.filter("g >= 0").select("lang", "g", "n"), sums.filter("g < 0").drop("g")
 
 
 def _discounted(counts: DataFrame, context: list[str], order: int) -> DataFrame:
@@ -115,21 +170,28 @@ def _discounted(counts: DataFrame, context: list[str], order: int) -> DataFrame:
     return rows.join(of, ["lang", *context]).select("lang", *[c for c in counts.columns if c not in ("lang", "n")], ((F.col("n") - F.col("d")) / F.col("mass")).alias("p"), (F.col("left") / F.col("mass")).alias("gamma")).withColumn("ord", F.lit(order))
 
 
-def _orders(counts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _orders(tri: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The discounted tables of order 3, 2 and 1; the lower orders count continuations, as Kneser and Ney have it."""
-    a, b, c = (F.col("g") / SYMBOLS**2).cast("int"), F.pmod((F.col("g") / SYMBOLS).cast("int"), F.lit(SYMBOLS)), F.pmod("g", F.lit(SYMBOLS))
-    tri = counts.select("lang", a.alias("a"), b.alias("b"), c.alias("c"), "n")
     two = tri.groupBy("lang", "b", "c").agg(F.count("*").alias("n"))
     one = two.groupBy("lang", "c").agg(F.count("*").alias("n"))
     return _discounted(tri, ["a", "b"], 3), _discounted(two, ["b"], 2), _discounted(one, [], 1)
 
 
+def _symbols(counts: DataFrame) -> DataFrame:
+    a, b, c = (F.col("g") / SYMBOLS**2).cast("int"), F.pmod((F.col("g") / SYMBOLS).cast("int"), F.lit(SYMBOLS)), F.pmod("g", F.lit(SYMBOLS))
+    return counts.select("lang", a.alias("a"), b.alias("b"), c.alias("c"), "n")
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """The model of all trusted text among docs. Without any, the tables are empty and nothing is rejected."""
-    rows = trusted_rows(docs, labels)
-    lut = _alphabet(rows)
-    counts = _count(rows, lut)
-    tri, two, one = (x.toPandas() for x in _orders(counts))  # at most (LANGUAGES + 1) * SYMBOLS**order rows each
+    rows = trusted_rows(docs, labels).select(F.coalesce("lang", F.lit("")).alias("lang"), "text")
+    alphabets = _alphabets(rows)
+    counts, rare = _count(rows, alphabets)
+    sizes = counts.filter(F.col("lang") != POOLED).groupBy("lang").agg(F.sum("n").alias("n")).collect()  # one a language
+    langs = [x.lang for x in sorted(sizes, key=lambda x: (-x.n, x.lang))]
+    coarse = frozenset(x.lang for x in rare.select("lang").distinct().collect())
+    own = _symbols(counts.filter(F.col("lang").isin([*langs[:LANGUAGES], POOLED])))
+    tri, two, one = (x.toPandas() for x in _orders(own))  # at most (LANGUAGES + 1) * SYMBOLS**order rows each
     tables = {}
     n = SYMBOLS
     for lang in one["lang"].unique():
@@ -148,50 +210,98 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         p3 = gamma[:, :, None] * p2[None, :, :]
         p3[x["a"], x["b"], x["c"]] += x["p"]
         tables[lang] = np.log2(p3).astype(np.float32).ravel()
-    return Model(lut, tables, counts)
+    return Model(alphabets, tables, counts, rare, coarse, frozenset(langs[LANGUAGES:]))
+
+
+def _key(lang: str, text: str) -> str:
+    return hashlib.sha256(f"{lang}\n{text}".encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns in keep, lang_model, n_chars_scored and bits (the sum of -log2 probability over the whole text)."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.lut, model.tables))
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((model.alphabets, model.tables, model.coarse, model.further))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lut, tables = shared.value
+        alphabets, tables, coarse, further = shared.value
+        luts = _Luts(alphabets)
         for x in batches:
-            langs = [v if v in tables else POOLED for v in x["_lang"]]
-            n, bits = np.zeros(len(x), np.int64), np.zeros(len(x))
+            langs = [v if v in tables or v in further else POOLED for v in x["_lang"]]
+            n, bits, keys = np.zeros(len(x), np.int64), np.zeros(len(x)), [None] * len(x)
             for k, (lang, text) in enumerate(zip(langs, x["_text"], strict=True)):
                 n[k] = len(text or "")
                 if n[k] and lang in tables:
-                    bits[k] = -tables[lang][_codes(text, lut)].sum(dtype=np.float64)
-            yield plain(x[keep].assign(lang_model=langs, n_chars_scored=n, bits=bits))
+                    codes = _codes(text, luts[lang])
+                    bits[k] = -tables[lang][codes].sum(dtype=np.float64)
+                    if lang in coarse and (codes % SYMBOLS == 0).any():
+                        keys[k] = _key(lang, text)
+                elif n[k] and lang in further:
+                    keys[k] = _key(lang, text)
+            yield plain(x[keep].assign(lang_model=langs, n_chars_scored=n, bits=bits, _key=keys))
 
     rows = docs.select(*keep, F.col("lang").alias("_lang"), F.col("text").alias("_text"))
     kept = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
-    return rows.mapInPandas(run, f"{kept}, lang_model string, n_chars_scored long, bits double")
-
-
-def score_by_joins(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, bits) as score() has it, by joining each document's trigram counts to the sharded count tables."""
-    tri, two, one = _orders(model.counts)
-    shared = docs.sparkSession.sparkContext.broadcast((model.lut, set(model.tables)))
+    rows = rows.mapInPandas(run, f"{kept}, lang_model string, n_chars_scored long, bits double, _key string")
+    if not model.coarse and not model.further:
+        return rows.drop("_key")
+    # what the tables lack is joined for distinct texts, then added
+    rows = materialize(rows, "by_table")
+    whole = [v for v in model.tables if v not in model.coarse and v != POOLED]
+    some = docs.filter(F.col("lang").isNull() | ~F.col("lang").isin(whole)) if whole else docs
+    more = materialize(_joined(_grams(some, model, True), model), "by_joins")
+    more = F.broadcast(more) if small_enough(more, BROADCAST_ROWS) else more
+    open_ = rows.filter(F.col("_key").isNotNull()).join(more.withColumnRenamed("bits", "_more"), "_key", "left")
+    open_ = open_.withColumn("bits", F.col("bits") + F.coalesce("_more", F.lit(0.0))).drop("_more")
+    return rows.filter(F.col("_key").isNull()).unionByName(open_).drop("_key")
+
+
+def _grams(docs: DataFrame, model: Model, lacking: bool) -> DataFrame:
+    """(_key, lang, rare, a, b, c, k): each text's counts of n-grams, all or those that no table holds, once a key."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.alphabets, set(model.tables), model.coarse, model.further))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lut, known = shared.value
+        alphabets, tables, coarse, further = shared.value
+        luts = _Luts(alphabets)
         for x in batches:
-            for i, lang, text in zip(x["doc_id"], x["lang"], x["text"], strict=True):
-                g, n = np.unique(_codes(text or "", lut), return_counts=True)
-                yield plain(pd.DataFrame({"doc_id": i, "lang": lang if lang in known else POOLED, "a": g // SYMBOLS**2, "b": g // SYMBOLS % SYMBOLS, "c": g % SYMBOLS, "k": n}))
-
-    own = docs.select("doc_id", "lang", "text").mapInPandas(run, "doc_id long, lang string, a int, b int, c int, k long")
+            for i, lang, text in zip(x["_key"], x["lang"], x["text"], strict=True):
+                lang = lang if lang in tables or lang in further else POOLED
+                if not text or lang not in alphabets:
+                    continue
+                for rare in (False, True):
+                    if lang not in coarse if rare else lacking and lang in tables:
+                        continue
+                    codes, n = np.unique((_rare if rare else _codes)(text, luts[lang]), return_counts=True)
+                    if len(codes):
+                        yield plain(pd.DataFrame({"_key": _key(lang, text) if lacking else i, "lang": lang, "rare": rare, **_split(codes, _POINTS + 1 if rare else SYMBOLS), "k": n}))
+
+    key = F.lit(None) if lacking else F.col("doc_id")
+    named = docs.select(key.cast("string").alias("_key"), "lang", "text")
+    return materialize(named.mapInPandas(run, "_key string, lang string, rare boolean, a int, b int, c int, k long").distinct(), "grams")
+
+
+def _joined(grams: DataFrame, model: Model) -> DataFrame:
+    """(_key, bits): the counts of n-grams joined to the sharded count tables."""
+    seen = F.broadcast(model.rare.groupBy("lang").agg((F.count_distinct("c") + 1).cast("double").alias("size")))  # one row a language
+    symbols = _looked_up(grams.filter("not rare").withColumn("size", F.lit(float(SYMBOLS))), _orders(_symbols(model.counts)))
+    rare = _looked_up(grams.filter("rare").join(seen, "lang"), _orders(model.rare))
+    return symbols.unionByName(rare).groupBy("_key").agg(F.sum("bits").alias("bits"))
+
+
+def _looked_up(own: DataFrame, orders: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    tri, two, one = orders
     part = lambda t, keys, name: t.select("lang", *keys, F.col("p").alias(name))
     left = lambda t, keys, name: t.groupBy("lang", *keys).agg(F.first("gamma").alias(name))
     for t, keys, context, k in ((tri, ["a", "b", "c"], ["a", "b"], 3), (two, ["b", "c"], ["b"], 2), (one, ["c"], [], 1)):
         own = own.join(part(t, keys, f"p{k}"), ["lang", *keys], "left").join(left(t, context, f"g{k}"), ["lang", *context], "left")
     z = lambda k: F.coalesce(f"p{k}", F.lit(0.0))
     g = lambda k: F.coalesce(f"g{k}", F.lit(1.0))
-    p = z(3) + g(3) * (z(2) + g(2) * (z(1) + g(1) / SYMBOLS))
-    return own.groupBy("doc_id").agg(F.sum(-F.log2(p) * F.col("k")).alias("bits"))
+    p = z(3) + g(3) * (z(2) + g(2) * (z(1) + g(1) / F.col("size")))
+    return own.groupBy("_key").agg(F.sum(-F.log2(p) * F.col("k")).alias("bits"))
+
+
+def score_by_joins(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, bits) as score() has it, by joining each document's trigram counts to the sharded count tables."""
+    return _joined(_grams(docs, model, False), model).select(F.col("_key").cast("long").alias("doc_id"), "bits")
 
 
 def classify(docs: DataFrame, labels: DataFrame, extra: list[str] | None = None, quantile: float = 0.99, slack: float = 2.0, prior: int = 60) -> DataFrame:
