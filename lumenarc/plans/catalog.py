@@ -125,6 +125,12 @@ def highlights(read):
     return read("documents").select("doc_id", search.highlight(F.substring("text", 1, 200), ["the", "tion", "x"]).alias("marked"))
 
 
+# highlights and its SQL see the first 200 characters of a text; this one the whole of it.
+@_query(r"SELECT doc_id, sha256(regexp_replace(text, '(?i)(the|tion)', '<mark>\1</mark>', 'g')) AS digest FROM documents")
+def highlights_all(read):
+    return read("documents").select("doc_id", F.sha2(search.highlight(F.col("text"), ["the", "tion", "x"]), 256).alias("digest"))
+
+
 @_query("""WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents), b AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY embedding[1] DESC, vec_id) AS r FROM embeddings)
   SELECT doc_id, round(coalesce(0.5 / (60 + a.r), 0) + coalesce(0.5 / (60 + b.r), 0), 9) AS score FROM (SELECT * FROM a WHERE r <= 60) a FULL JOIN (SELECT * FROM b WHERE r <= 60) b USING (doc_id) ORDER BY coalesce(0.5 / (60 + a.r), 0) + coalesce(0.5 / (60 + b.r), 0) DESC, a.r NULLS LAST, b.r NULLS LAST LIMIT 20""")
 def rrf_hybrid(read):

@@ -1,6 +1,7 @@
 """The queries over whole tables against brute force; the ids lie beyond the bounds of the queries over id subsets."""
 
 import datetime
+import hashlib
 import itertools
 from collections import Counter, defaultdict
 
@@ -45,3 +46,11 @@ def test_whole_tables(spark, tmp_path):
         for o, c in ORDERS:
             root[c] = root[-(o // 40) - 1] = min(root[c], root[-(o // 40) - 1])
     assert run("graph_components_all") == sorted(root.items())
+
+
+def test_highlights_past_the_start(spark, tmp_path):
+    rows = [(1, "x" * 300 + " The action"), (2, "the " * 100), (3, None), (4, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    marked = ["x" * 300 + " <mark>The</mark> ac<mark>tion</mark>", "<mark>the</mark> " * 100, None, ""]
+    got = {r.doc_id: r.digest for r in catalog.queries()["highlights_all"](spark, str(tmp_path)).collect()}
+    assert got == {k + 1: m if m is None else hashlib.sha256(m.encode()).hexdigest() for k, m in enumerate(marked)}
