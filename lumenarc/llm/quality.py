@@ -309,22 +309,25 @@ def classify(docs: DataFrame, labels: DataFrame, extra: list[str] | None = None,
 
     perplexity is a character's, over the whole text. A document is kept if its mean bits, drawn toward its language's
     median as `prior` further characters would, are at most the threshold of its language: the median of the trusted
-    documents' figures plus `slack` times the way from there to their `quantile`. Both quantiles are over all trusted
-    documents. A language without trusted text is measured with the pooled model and threshold. Null and empty texts have
-    no perplexity and are rejected. Without trusted text nothing else is rejected. Rows that repeat come back as often,
-    also with a null doc_id; null languages are pooled. Columns not named are not read.
+    documents' figures plus `slack` times the way from there to the `quantile` of their figures drawn in the same way. Both
+    are over all trusted documents that have text. A language without trusted text is measured with the pooled model and
+    threshold. Null and empty texts have no perplexity and are rejected. Without trusted text nothing else is rejected.
+    Rows that repeat come back as often, also with a null doc_id; null languages are pooled. Columns not named are not read.
     """
     extra = extra or []
     model = train(docs, labels)
     scored = materialize(score(docs, model, ["doc_id", *extra]), "scored")
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("x")).filter("q = 1 and x = 0").select("doc_id")
     rate = scored.withColumn("rate", F.when(F.col("n_chars_scored") > 0, F.col("bits") / F.col("n_chars_scored")))
-    base = rate.join(good, "doc_id", "left_semi").filter("n_chars_scored >= 40")
+    base = rate.join(good, "doc_id", "left_semi").filter(F.col("rate").isNotNull())
     base = base.unionByName(base.filter(F.col("lang_model") != POOLED).withColumn("lang_model", F.lit(POOLED)))
-    marks = base.groupBy("lang_model").agg(F.percentile_approx("rate", [0.5, quantile], 10_000).alias("q"))
-    marks = materialize(marks.select(F.col("lang_model").alias("lm"), F.element_at("q", 1).alias("mid"), (F.element_at("q", 1) + slack * (F.element_at("q", 2) - F.element_at("q", 1))).alias("top")), "marks")
-    rows = rate.join(F.broadcast(marks), F.col("lang_model") == F.col("lm"), "left")  # one row a language with a table
+    mids = base.groupBy("lang_model").agg(F.percentile_approx("rate", 0.5, 10_000).alias("mid"))
+    mids = materialize(mids.withColumnRenamed("lang_model", "lm"), "medians")
+    base = base.join(F.broadcast(mids), F.col("lang_model") == F.col("lm"))  # one row a language
     drawn = (F.col("bits") + prior * F.col("mid")) / (F.col("n_chars_scored") + prior)
+    marks = base.groupBy("lm", "mid").agg(F.percentile_approx(drawn, quantile, 10_000).alias("q"))
+    marks = materialize(marks.select("lm", "mid", (F.col("mid") + slack * (F.greatest("q", "mid") - F.col("mid"))).alias("top")), "marks")
+    rows = rate.join(F.broadcast(marks), F.col("lang_model") == F.col("lm"), "left")  # one row a language with a table
     keep = (F.col("n_chars_scored") > 0) & (F.col("mid").isNull() | (drawn <= F.col("top")))
     return rows.select("doc_id", *extra, "lang_model", "n_chars_scored", F.when(F.col("mid").isNotNull(), F.pow(F.lit(2.0), "rate")).alias("perplexity"), F.pow(F.lit(2.0), "top").alias("threshold"), keep.alias("keep"))
 

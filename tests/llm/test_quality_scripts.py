@@ -46,3 +46,13 @@ def test_scripts(spark, monkeypatch, languages):
     a = quality.score(some, model, ["doc_id"]).toPandas().groupby("doc_id").bits.first()
     b = quality.score_by_joins(some, model).toPandas().set_index("doc_id").bits
     assert np.allclose(a, b[a.index], rtol=1e-5)
+
+
+def test_short_trusted_texts_set_a_threshold(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(12)]
+    rows = [(k, " ".join(rng.choice(words) for _ in range(6)), "xx", "s", 0) for k in range(60)]
+    rows += [(100, " ".join(rng.choice(words) for _ in range(60)), "xx", "s", 0), (101, "".join(rng.choice("qrstuvwxyz!?") for _ in range(300)), "xx", "s", 0)]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.classify(spark.createDataFrame(rows, DOC), labels).collect()}
+    assert got[100].keep and not got[101].keep and got[101].threshold is not None
