@@ -1,339 +1,243 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of character trigrams, trained on trusted text.
 
-Counts of counts, contexts and continuations come from grouped count tables, sharded and joined in Spark by language and
-n-gram. Symbols are the most frequent characters of a language's trusted text, so its table has at most symbols**3 entries
-whatever the corpus: with that proven bound, each document meets the table where it stands. What no table holds, the
-characters beyond a language's symbols and the languages beyond the tables, is dealt out as counts of n-grams and joined to
-the sharded counts: a character without a symbol costs the symbol 0 and, after it, itself among all such characters, by a
-second model of the same kind over code points. score_by_joins() takes that route for all; both give the same figures.
+Symbols are code points, all of them, and each language that has trusted text has a model of its own. Grouped count tables
+give the discounted probabilities of three orders; the model is a table sharded by language and context. Documents are
+dealt into batches of some megabytes. A batch counts each context once, however often its texts have it, and those contexts
+are joined to the sharded table; what comes back meets the batch's texts again, which gives every document's perplexity.
+So the join grows with the contexts of a batch, not with the words of the corpus, and nothing of the model is collected
+or broadcast.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window as W
 
-from ..workspace import materialize, plain, small_enough
+from ..workspace import by_size, materialize, plain, small_enough, unused
 
-#: Symbols: 0 is any other character, 1 the edge of a text, the rest are a language's most frequent characters.
-SYMBOLS = 96
-#: Languages that get a table of their own, those with the most trusted text; the others' counts are joined.
-LANGUAGES = 24
 POOLED = "*"
-BROADCAST_ROWS = 2_000_000
-
-
-#: One more than the largest code point, and one for the edge of a text.
-_POINTS = 0x110001
-
-
-class Model(NamedTuple):
-    """alphabets: the characters with a symbol, by language. tables: by language, log2 probability by trigram. counts, rare: the
-    sharded counts of symbols and of characters without one. coarse: the languages that have such characters. further: the
-    languages without a table."""
-
-    alphabets: dict[str, np.ndarray]
-    tables: dict[str, np.ndarray]
-    counts: DataFrame
-    rare: DataFrame
-    coarse: frozenset[str]
-    further: frozenset[str]
-
-
-class _Luts(dict):
-    """Symbol by code point, by language."""
-
-    def __init__(self, alphabets: dict[str, np.ndarray]) -> None:
-        self.alphabets = alphabets
-
-    def __missing__(self, lang: str) -> np.ndarray:
-        if len(self) >= 2 * LANGUAGES:
-            self.clear()
-        self[lang] = lut = np.zeros(_POINTS, np.uint8)
-        own = self.alphabets[lang]
-        lut[own] = np.arange(2, len(own) + 2)
-        return lut
-
-
-def _points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-
-
-def _codes(text: str, lut: np.ndarray) -> np.ndarray:
-    """One trigram code a character of the whole text, with two edges before it."""
-    points = _points(text)
-    s = np.empty(len(points) + 2, np.int32)
-    s[:2] = 1
-    s[2:] = lut[points]
-    return (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
-
-
-def _rare(text: str, lut: np.ndarray) -> np.ndarray:
-    """A code of code points for each character without a symbol and the two before it, the edge as zero."""
-    points = _points(text)
-    at = np.flatnonzero(lut[points] == 0)
-    if not len(at):
-        return np.zeros(0, np.int64)
-    s = np.zeros(len(points) + 2, np.int64)
-    s[2:] = points + np.int64(1)
-    return (s[at] * (_POINTS + 1) + s[at + 1]) * (_POINTS + 1) + s[at + 2]
-
-
-def _split(codes: np.ndarray, base: int) -> dict[str, np.ndarray]:
-    return {"a": (codes // base**2).astype(np.int32), "b": (codes // base % base).astype(np.int32), "c": (codes % base).astype(np.int32)}
-
-
-def trusted_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(lang, text) of the documents whose labels all say good quality and not toxic."""
-    good = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("x")).filter("q = 1 and x = 0").select("doc_id")
-    good = F.broadcast(good) if small_enough(good, BROADCAST_ROWS) else good
-    return docs.select("doc_id", "lang", "text").join(good, "doc_id", "left_semi").select("lang", "text").filter(F.length("text") > 0)
-
-
-def _alphabets(rows: DataFrame) -> dict[str, np.ndarray]:
-    """The most frequent characters of each language's trusted text, and of all, in order of their code points."""
+#: Rows up to which a side of a join is broadcast.
+BROADCAST_ROWS = 200_000
+#: Bytes of text in one batch, characters that are worked on at once, batches that share one copy of the model's rows.
+BATCH_BYTES, WINDOW, BATCHES_PER_COPY = 4_000_000, 1 << 19, 4096
+#: Bits of a symbol: 0 is the edge of a text, others are a code point and one.
+BITS = 21
+MASK = (1 << BITS) - 1
+#: Held-out trusted texts that a language must have for its own quantile to stand alone.
+LEAST_HELD = 200
+
+
+def _pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, codes): for each character of the texts its row and its trigram, in portions of about WINDOW characters."""
+    rows, codes, held = [], [], 0
+    for k, text in enumerate(texts):
+        if not text:
+            continue
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        for at in range(0, len(points), WINDOW):
+            part = points[max(0, at - 2) : at + WINDOW].astype(np.int64) + 1
+            s = np.concatenate([np.zeros(2 - min(2, at), np.int64), part])
+            codes.append((s[:-2] << 2 * BITS) | (s[1:-1] << BITS) | s[2:])
+            rows.append(np.full(len(codes[-1]), k))
+            held += len(codes[-1])
+            if held >= WINDOW:
+                yield np.concatenate(rows), np.concatenate(codes)
+                rows, codes, held = [], [], 0
+    if held:
+        yield np.concatenate(rows), np.concatenate(codes)
+
+
+def good_ids(labels: DataFrame) -> DataFrame:
+    """(doc_id) of the documents whose labels all say good quality and not toxic."""
+    seen = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("x"))
+    return seen.filter("q = 1 and x = 0 and doc_id is not null").select("doc_id")
+
+
+def _side(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if small_enough(df, BROADCAST_ROWS) else df
+
+
+def held_out(text: str = "text"):
+    """True for the trusted texts that teach nothing and set the thresholds: a fifth, copies together."""
+    return F.pmod(F.xxhash64(text, F.lit(3)), F.lit(5)) == 0
+
+
+def trigrams(rows: DataFrame) -> DataFrame:
+    """(lang, a, b, c, n): the trigrams of all texts of rows (lang, text), for their language and for the pool."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
+        for x in by_size(batches, "text"):
             for lang, own in x.groupby("lang"):
-                for k in range(0, len(own), 256):
-                    n = np.bincount(_points("".join(own["text"].iloc[k : k + 256])))
-                    at = np.flatnonzero(n)
-                    yield plain(pd.DataFrame({"lang": lang, "point": at, "n": n[at]}))
+                for _, codes in _pieces(list(own["text"])):
+                    found, n = np.unique(codes, return_counts=True)
+                    yield plain(pd.DataFrame({"lang": lang, "a": (found >> 2 * BITS).astype(np.int32), "b": (found >> BITS & MASK).astype(np.int32), "c": (found & MASK).astype(np.int32), "n": n}))
 
-    found = rows.mapInPandas(run, "lang string, point long, n long").groupBy("lang", "point").agg(F.sum("n").alias("n"))
-    found = materialize(found, "characters")
-    pooled = found.groupBy("point").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "point", "n")
-    ranked = found.filter("lang <> ''").unionByName(pooled).withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "point")))
-    out: dict[str, list[int]] = {}
-    for x in ranked.filter(F.col("r") <= SYMBOLS - 2).select("lang", "point").collect():  # at most SYMBOLS a language
-        out.setdefault(x.lang, []).append(x.point)
-    return {lang: np.array(sorted(points)) for lang, points in out.items()}
+    rows = rows.select(F.coalesce("lang", F.lit(POOLED)).alias("lang"), "text")
+    own = rows.mapInPandas(run, "lang string, a int, b int, c int, n long").groupBy("lang", "a", "b", "c").agg(F.sum("n").alias("n"))
+    # a text of a language counts in the pool as well
+    both = F.explode(F.when(F.col("lang") == POOLED, F.array(F.lit(POOLED))).otherwise(F.array("lang", F.lit(POOLED))))
+    return own.withColumn("lang", both).groupBy("lang", "a", "b", "c").agg(F.sum("n").alias("n"))
 
 
-def _count(rows: DataFrame, alphabets: dict[str, np.ndarray]) -> tuple[DataFrame, DataFrame]:
-    """(lang, g, n) and (lang, a, b, c, n): the trigrams of all trusted text, of symbols and of the characters without one.
+def model(tri: DataFrame) -> DataFrame:
+    """(lang, a, b, gamma, size, cs, ps): a row a context, a = -1 for a single symbol, b = -1 for none.
 
-    Each text counts for its language and, by the alphabet of all, for the pool.
+    ps are the discounted shares of the symbols cs in their context, gamma is what the discounts leave to the next lower
+    order. Lower orders count continuations, as Kneser and Ney have it; the three discounts of each order come from its
+    counts of counts, after Chen and Goodman, and where one can't be had it is 1/2 for single counts and 1 for others.
+    size, for the empty context, is the number of symbols and one for all that never occurred.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(alphabets)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        luts = _Luts(shared.value)
-        held: dict[str, list[np.ndarray]] = {}
-        odd: dict[str, list[np.ndarray]] = {}
-
-        def out(lang: str) -> Iterator[pd.DataFrame]:
-            n = np.bincount(np.concatenate(held.pop(lang)), minlength=1)
-            at = np.flatnonzero(n)
-            yield plain(pd.DataFrame({"lang": lang, "g": at.astype(np.int32), "a": 0, "b": 0, "c": 0, "n": n[at]}))
-            codes, n = np.unique(np.concatenate(odd.pop(lang)), return_counts=True)
-            yield plain(pd.DataFrame({"lang": lang, "g": -1, **_split(codes, _POINTS + 1), "n": n}))
-
-        for x in batches:
-            for lang, text in zip(x["lang"], x["text"], strict=True):
-                for name in (lang, POOLED) if lang else (POOLED,):
-                    own = held.setdefault(name, [])
-                    own.append(_codes(text, luts[name]))
-                    odd.setdefault(name, []).append(_rare(text, luts[name]))
-                    if sum(map(len, own[-64:])) > 8_000_000 or len(own) > 4000:
-                        yield from out(name)
-        for lang in list(held):
-            yield from out(lang)
-
-    found = rows.mapInPandas(run, "lang string, g int, a int, b int, c int, n long")
-    sums = materialize(found.groupBy("lang", "g", "a", "b", "c").agg(F.sum("n").alias("n")), "trigrams")
-    return sums.filter("g >= 0").select("lang", "g", "n"), sums.filter("g < 0").drop("g")
-
-
-def _discounted(counts: DataFrame, context: list[str], order: int) -> DataFrame:
-    """counts (lang, key columns, n) with p, the discounted share of n in its context, and gamma, what the discounts leave.
-
-    The three discounts come from the language's counts of counts, after Chen and Goodman; where one can't be had it is
-    n / 2 at most 1.
-    """
-    one = lambda k: F.sum(F.when(F.col("n") == k, 1).otherwise(0)).cast("double")
-    few = counts.groupBy("lang").agg(*[one(k).alias(f"n{k}") for k in (1, 2, 3, 4)])
+    none = F.lit(-1)
+    two = tri.groupBy("lang", "b", "c").agg(F.count("*").alias("n"))
+    one = tri.select("lang", "b", "c").distinct().groupBy("lang", "c").agg(F.count("*").alias("n"))
+    all_ = tri.select("lang", "a", "b", "c", "n").unionByName(two.select("lang", none.alias("a"), "b", "c", "n")).unionByName(one.select("lang", none.alias("a"), none.alias("b"), "c", "n"))
+    order = F.when(F.col("b") < 0, 1).when(F.col("a") < 0, 2).otherwise(3)
+    all_ = materialize(all_.withColumn("ord", order), "orders")
+    few = all_.filter("n <= 4").groupBy("lang", "ord").agg(*[F.count_if(F.col("n") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)])
     y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
     for k in (1, 2, 3):
         d = F.lit(float(k)) - F.try_divide((k + 1) * y * F.col(f"n{k + 1}"), F.col(f"n{k}"))
         few = few.withColumn(f"d{k}", F.when((F.col("n1") > 0) & (F.col(f"n{k}") > 0) & d.between(0.05, k - 0.05), d).otherwise(F.lit(0.5 if k == 1 else 1.0)))
-    few = few.select("lang", "d1", "d2", "d3")
-    rows = counts.join(F.broadcast(few), "lang").withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
-    of = rows.groupBy("lang", *context).agg(F.sum("n").alias("mass"), F.sum("d").alias("left"))
-    return rows.join(of, ["lang", *context]).select("lang", *[c for c in counts.columns if c not in ("lang", "n")], ((F.col("n") - F.col("d")) / F.col("mass")).alias("p"), (F.col("left") / F.col("mass")).alias("gamma")).withColumn("ord", F.lit(order))
-
-
-def _orders(tri: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The discounted tables of order 3, 2 and 1; the lower orders count continuations, as Kneser and Ney have it."""
-    two = tri.groupBy("lang", "b", "c").agg(F.count("*").alias("n"))
-    one = two.groupBy("lang", "c").agg(F.count("*").alias("n"))
-    return _discounted(tri, ["a", "b"], 3), _discounted(two, ["b"], 2), _discounted(one, [], 1)
-
-
-def _symbols(counts: DataFrame) -> DataFrame:
-    a, b, c = (F.col("g") / SYMBOLS**2).cast("int"), F.pmod((F.col("g") / SYMBOLS).cast("int"), F.lit(SYMBOLS)), F.pmod("g", F.lit(SYMBOLS))
-    return counts.select("lang", a.alias("a"), b.alias("b"), c.alias("c"), "n")
-
-
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """The model of all trusted text among docs. Without any, the tables are empty and nothing is rejected."""
-    rows = trusted_rows(docs, labels).select(F.coalesce("lang", F.lit("")).alias("lang"), "text")
-    alphabets = _alphabets(rows)
-    counts, rare = _count(rows, alphabets)
-    sizes = counts.filter(F.col("lang") != POOLED).groupBy("lang").agg(F.sum("n").alias("n")).collect()  # one a language
-    langs = [x.lang for x in sorted(sizes, key=lambda x: (-x.n, x.lang))]
-    coarse = frozenset(x.lang for x in rare.select("lang").distinct().collect())
-    own = _symbols(counts.filter(F.col("lang").isin([*langs[:LANGUAGES], POOLED])))
-    tri, two, one = (x.toPandas() for x in _orders(own))  # at most (LANGUAGES + 1) * SYMBOLS**order rows each
-    tables = {}
-    n = SYMBOLS
-    for lang in one["lang"].unique():
-        p1 = np.full(n, 1 / n)
-        x = one[one["lang"] == lang]
-        p1 *= x["gamma"].iloc[0]
-        p1[x["c"]] += x["p"]
-        x = two[two["lang"] == lang]
-        gamma = np.ones(n)
-        gamma[x["b"]] = x["gamma"]
-        p2 = gamma[:, None] * p1[None, :]
-        p2[x["b"], x["c"]] += x["p"]
-        x = tri[tri["lang"] == lang]
-        gamma = np.ones((n, n))
-        gamma[x["a"], x["b"]] = x["gamma"]
-        p3 = gamma[:, :, None] * p2[None, :, :]
-        p3[x["a"], x["b"], x["c"]] += x["p"]
-        tables[lang] = np.log2(p3).astype(np.float32).ravel()
-    return Model(alphabets, tables, counts, rare, coarse, frozenset(langs[LANGUAGES:]))
-
-
-def _key(lang: str, text: str) -> str:
-    return hashlib.sha256(f"{lang}\n{text}".encode("utf-8", "surrogatepass")).hexdigest()
-
-
-def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns in keep, lang_model, n_chars_scored and bits (the sum of -log2 probability over the whole text)."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.alphabets, model.tables, model.coarse, model.further))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        alphabets, tables, coarse, further = shared.value
-        luts = _Luts(alphabets)
-        for x in batches:
-            langs = [v if v in tables or v in further else POOLED for v in x["_lang"]]
-            n, bits, keys = np.zeros(len(x), np.int64), np.zeros(len(x)), [None] * len(x)
-            for k, (lang, text) in enumerate(zip(langs, x["_text"], strict=True)):
-                n[k] = len(text or "")
-                if n[k] and lang in tables:
-                    codes = _codes(text, luts[lang])
-                    bits[k] = -tables[lang][codes].sum(dtype=np.float64)
-                    if lang in coarse and (codes % SYMBOLS == 0).any():
-                        keys[k] = _key(lang, text)
-                elif n[k] and lang in further:
-                    keys[k] = _key(lang, text)
-            yield plain(x[keep].assign(lang_model=langs, n_chars_scored=n, bits=bits, _key=keys))
-
-    rows = docs.select(*keep, F.col("lang").alias("_lang"), F.col("text").alias("_text"))
+    few = materialize(few.select("lang", "ord", "d1", "d2", "d3"), "discounts")
+    rows = all_.join(_side(few), ["lang", "ord"], "left")
+    d = F.when(F.col("n") == 1, F.coalesce("d1", F.lit(0.5))).when(F.col("n") == 2, F.coalesce("d2", F.lit(1.0))).otherwise(F.coalesce("d3", F.lit(1.0)))
+    rows = rows.select("lang", "a", "b", "c", "n", d.alias("d"))
+    # a context has as many entries as there are symbols at most
+    rows = rows.groupBy("lang", "a", "b").agg(F.sum("n").alias("mass"), F.sum("d").alias("left"), F.collect_list(F.struct("c", (F.col("n") - F.col("d")).alias("p"))).alias("x"))
+    ps = F.transform("x", lambda x: (x["p"] / F.col("mass")).cast("double"))
+    return rows.select("lang", "a", "b", (F.col("left") / F.col("mass")).alias("gamma"), (F.size("x") + 1).alias("size"), F.transform("x", lambda x: x["c"]).alias("cs"), ps.alias("ps"))
+
+
+def train(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The model, written, of the trusted texts among docs that are not held out. Without any it has no rows."""
+    rows = docs.select("doc_id", "lang", "text").join(_side(good_ids(labels)), "doc_id", "left_semi").filter(F.length("text") > 0)
+    return materialize(model(materialize(trigrams(rows.filter(~held_out()).select("lang", "text")), "trigrams")), "model")
+
+
+def _contexts(x: pd.DataFrame) -> pd.DataFrame:
+    """The contexts of one batch, each once."""
+    out = []
+    for lang, own in x.groupby("lang_model"):
+        found = np.unique(np.concatenate([np.zeros(0, np.int64), *(pd.unique(codes >> BITS) for _, codes in _pieces(list(own["text"])))]))
+        single = np.unique(found & MASK)
+        a = np.concatenate([found >> BITS, np.full(len(single) + 1, -1)])
+        b = np.concatenate([found & MASK, single, [-1]])
+        out.append(pd.DataFrame({"batch": x["batch"].iloc[0], "lang": lang, "a": a.astype(np.int32), "b": b.astype(np.int32)}))
+    return plain(pd.concat(out)) if out else pd.DataFrame({"batch": [], "lang": [], "a": [], "b": []})
+
+
+class _Order:
+    """The contexts of one order that a batch has: sorted keys, gammas, and sorted codes of entries with their shares."""
+
+    def __init__(self, key: np.ndarray, rows: pd.DataFrame) -> None:
+        by = np.argsort(key)
+        self.key, self.gamma = key[by], rows["gamma"].to_numpy(float)[by]
+        lengths = rows["cs"].map(len).to_numpy(np.int64) if len(rows) else np.zeros(0, np.int64)
+        codes = np.concatenate([np.zeros(0, np.int64), *rows["cs"]]).astype(np.int64) | np.repeat(key, lengths) << BITS
+        by = np.argsort(codes)
+        self.codes, self.ps = codes[by], np.concatenate([np.zeros(0), *rows["ps"]])[by]
+
+    def interpolated(self, context: np.ndarray, code: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        gamma, p = np.ones(len(code)), np.zeros(len(code))
+        for keys, values, wanted, into in ((self.key, self.gamma, context, gamma), (self.codes, self.ps, code, p)):
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                hit = keys[at] == wanted
+                into[hit] = values[at[hit]]
+        return p + gamma * lower
+
+
+def _bits(texts: list[str | None], table: pd.DataFrame) -> np.ndarray:
+    """The sum of -log2 probability over each whole text; table holds their contexts of one language."""
+    a, b = table["a"].to_numpy(np.int64), table["b"].to_numpy(np.int64)
+    three, two, one = ((a >= 0), (a < 0) & (b >= 0), b < 0)
+    orders = [_Order(np.zeros(one.sum(), np.int64), table[one]), _Order(b[two], table[two]), _Order(a[three] << BITS | b[three], table[three])]
+    size = float(table["size"][one].iloc[0]) if one.any() else 1.0
+    bits = np.zeros(len(texts))
+    for rows, codes in _pieces(texts):
+        inverse, code = pd.factorize(codes)
+        p = np.full(len(code), 1 / size)
+        p = orders[0].interpolated(np.zeros(len(code), np.int64), code & MASK, p)
+        p = orders[1].interpolated(code >> BITS & MASK, code & (1 << 2 * BITS) - 1, p)
+        p = orders[2].interpolated(code >> BITS, code, p)
+        bits += np.bincount(rows, -np.log2(p)[inverse], minlength=len(texts))
+    return bits
+
+
+def score(docs: DataFrame, trained: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns in keep, lang_model, n_chars_scored and bits (the sum of -log2 probability over the whole text).
+
+    A language without a model is measured with the pooled one. The texts are dealt out once; both the contexts of a batch
+    and the join of what comes back read that one shuffle.
+    """
+    langs = materialize(trained.filter("b = -1").select(F.col("lang").alias("lang_model")), "languages")
+    rows = docs.select(*keep, F.col("text").alias("_text"), F.col("lang").alias("_lang"))
+    rows = rows.join(_side(langs), rows["_lang"] == langs["lang_model"], "left").drop("_lang")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    batches = int(size // BATCH_BYTES + 1)
+    rows = rows.withColumns({"lang_model": F.coalesce("lang_model", F.lit(POOLED)), "batch": F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(batches))})
+    rows = rows.withColumnRenamed("_text", "text") if "text" not in keep else rows
     kept = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
-    rows = rows.mapInPandas(run, f"{kept}, lang_model string, n_chars_scored long, bits double, _key string")
-    if not model.coarse and not model.further:
-        return rows.drop("_key")
-    # what the tables lack is joined for distinct texts, then added
-    rows = materialize(rows, "by_table")
-    whole = [v for v in model.tables if v not in model.coarse and v != POOLED]
-    some = docs.filter(F.col("lang").isNull() | ~F.col("lang").isin(whole)) if whole else docs
-    more = materialize(_joined(_grams(some, model, True), model), "by_joins")
-    more = F.broadcast(more) if small_enough(more, BROADCAST_ROWS) else more
-    open_ = rows.filter(F.col("_key").isNotNull()).join(more.withColumnRenamed("bits", "_more"), "_key", "left")
-    open_ = open_.withColumn("bits", F.col("bits") + F.coalesce("_more", F.lit(0.0))).drop("_more")
-    return rows.filter(F.col("_key").isNull()).unionByName(open_).drop("_key")
-
-
-def _grams(docs: DataFrame, model: Model, lacking: bool) -> DataFrame:
-    """(_key, lang, rare, a, b, c, k): each text's counts of n-grams, all or those that no table holds, once a key."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.alphabets, set(model.tables), model.coarse, model.further))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        alphabets, tables, coarse, further = shared.value
-        luts = _Luts(alphabets)
-        for x in batches:
-            for i, lang, text in zip(x["_key"], x["lang"], x["text"], strict=True):
-                lang = lang if lang in tables or lang in further else POOLED
-                if not text or lang not in alphabets:
-                    continue
-                for rare in (False, True):
-                    if lang not in coarse if rare else lacking and lang in tables:
-                        continue
-                    codes, n = np.unique((_rare if rare else _codes)(text, luts[lang]), return_counts=True)
-                    if len(codes):
-                        yield plain(pd.DataFrame({"_key": _key(lang, text) if lacking else i, "lang": lang, "rare": rare, **_split(codes, _POINTS + 1 if rare else SYMBOLS), "k": n}))
-
-    key = F.lit(None) if lacking else F.col("doc_id")
-    named = docs.select(key.cast("string").alias("_key"), "lang", "text")
-    return materialize(named.mapInPandas(run, "_key string, lang string, rare boolean, a int, b int, c int, k long").distinct(), "grams")
-
-
-def _joined(grams: DataFrame, model: Model) -> DataFrame:
-    """(_key, bits): the counts of n-grams joined to the sharded count tables."""
-    seen = F.broadcast(model.rare.groupBy("lang").agg((F.count_distinct("c") + 1).cast("double").alias("size")))  # one row a language
-    symbols = _looked_up(grams.filter("not rare").withColumn("size", F.lit(float(SYMBOLS))), _orders(_symbols(model.counts)))
-    rare = _looked_up(grams.filter("rare").join(seen, "lang"), _orders(model.rare))
-    return symbols.unionByName(rare).groupBy("_key").agg(F.sum("bits").alias("bits"))
-
-
-def _looked_up(own: DataFrame, orders: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
-    tri, two, one = orders
-    part = lambda t, keys, name: t.select("lang", *keys, F.col("p").alias(name))
-    left = lambda t, keys, name: t.groupBy("lang", *keys).agg(F.first("gamma").alias(name))
-    for t, keys, context, k in ((tri, ["a", "b", "c"], ["a", "b"], 3), (two, ["b", "c"], ["b"], 2), (one, ["c"], [], 1)):
-        own = own.join(part(t, keys, f"p{k}"), ["lang", *keys], "left").join(left(t, context, f"g{k}"), ["lang", *context], "left")
-    z = lambda k: F.coalesce(f"p{k}", F.lit(0.0))
-    g = lambda k: F.coalesce(f"g{k}", F.lit(1.0))
-    p = z(3) + g(3) * (z(2) + g(2) * (z(1) + g(1) / F.col("size")))
-    return own.groupBy("_key").agg(F.sum(-F.log2(p) * F.col("k")).alias("bits"))
-
-
-def score_by_joins(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, bits) as score() has it, by joining each document's trigram counts to the sharded count tables."""
-    return _joined(_grams(docs, model, False), model).select(F.col("_key").cast("long").alias("doc_id"), "bits")
-
-
-def classify(docs: DataFrame, labels: DataFrame, extra: list[str] | None = None, quantile: float = 0.99, slack: float = 2.0, prior: int = 60) -> DataFrame:
+    dealt = rows.groupBy("batch")
+    found = dealt.applyInPandas(_contexts, "batch long, lang string, a int, b int")
+    copies = batches // BATCHES_PER_COPY + 1
+    if copies == 1:
+        table = found.join(trained, ["lang", "a", "b"])
+    else:  # a context that all batches have is no single task
+        spread = trained.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))))
+        table = found.withColumn("copy", F.pmod("batch", F.lit(copies))).join(spread, ["lang", "a", "b", "copy"]).drop("copy")
+
+    def run(x: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(len(x))
+        for lang, at in x.groupby("lang_model").indices.items():
+            bits[at] = _bits(list(x["text"].iloc[at]), t[t["lang"] == lang])
+        n = x["text"].map(lambda v: len(v) if v else 0).to_numpy(np.int64)
+        return plain(x[[*keep, "lang_model"]].assign(n_chars_scored=n, bits=bits))
+
+    table = table.select("batch", "lang", "a", "b", "gamma", "size", "cs", "ps")
+    return dealt.cogroup(table.groupBy("batch")).applyInPandas(run, f"{kept}, lang_model string, n_chars_scored long, bits double")
+
+
+def classify(docs: DataFrame, labels: DataFrame, extra: list[str] | None = None, quantile: float = 0.995, prior: int = 60) -> DataFrame:
     """(doc_id, lang_model, n_chars_scored, perplexity, threshold, keep) for each row of docs, and the columns in extra.
 
     perplexity is a character's, over the whole text. A document is kept if its mean bits, drawn toward its language's
-    median as `prior` further characters would, are at most the threshold of its language: the median of the trusted
-    documents' figures plus `slack` times the way from there to the `quantile` of their figures drawn in the same way. Both
-    are over all trusted documents that have text. A language without trusted text is measured with the pooled model and
-    threshold. Null and empty texts have no perplexity and are rejected. Without trusted text nothing else is rejected.
-    Rows that repeat come back as often, also with a null doc_id; null languages are pooled. Columns not named are not read.
+    median as `prior` further characters would, are at most its language's threshold: the `quantile` of the figures, drawn
+    in the same way, of the language's trusted texts that are held out from training (a fifth, by a hash of the text). For
+    a language with fewer than LEAST_HELD of them, whose far quantile says little, the way from the median to the threshold
+    is the larger of its own and that of all languages together. A language without trusted text is measured with the
+    pooled model and threshold. Null and empty texts have no perplexity and are rejected. Without trusted text nothing else
+    is rejected. Rows that repeat come back as often, also with a null doc_id; null languages are pooled. Columns not named
+    are not read; columns in extra may not be called as those of the result.
     """
     extra = extra or []
-    model = train(docs, labels)
-    scored = materialize(score(docs, model, ["doc_id", *extra]), "scored")
-    good = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("x")).filter("q = 1 and x = 0").select("doc_id")
+    marked = docs.select("doc_id", *extra, "lang", "text", F.coalesce(held_out(), F.lit(False)).alias("_held"))
+    scored = materialize(score(marked, train(docs, labels), ["doc_id", *extra, "_held"]), "scored")
     rate = scored.withColumn("rate", F.when(F.col("n_chars_scored") > 0, F.col("bits") / F.col("n_chars_scored")))
-    base = rate.join(good, "doc_id", "left_semi").filter(F.col("rate").isNotNull())
-    base = base.unionByName(base.filter(F.col("lang_model") != POOLED).withColumn("lang_model", F.lit(POOLED)))
-    mids = base.groupBy("lang_model").agg(F.percentile_approx("rate", 0.5, 10_000).alias("mid"))
-    mids = materialize(mids.withColumnRenamed("lang_model", "lm"), "medians")
-    base = base.join(F.broadcast(mids), F.col("lang_model") == F.col("lm"))  # one row a language
+    base = rate.join(_side(good_ids(labels)), "doc_id", "left_semi").filter("_held and rate is not null")
+    base = base.select(F.explode(F.array_distinct(F.array("lang_model", F.lit(POOLED)))).alias("lm"), "n_chars_scored", "bits", "rate")
+    mids = materialize(base.groupBy("lm").agg(F.percentile_approx("rate", 0.5, 10_000).alias("mid"), F.count("*").alias("n")), "medians")
     drawn = (F.col("bits") + prior * F.col("mid")) / (F.col("n_chars_scored") + prior)
-    marks = base.groupBy("lm", "mid").agg(F.percentile_approx(drawn, quantile, 10_000).alias("q"))
-    marks = materialize(marks.select("lm", "mid", (F.col("mid") + slack * (F.greatest("q", "mid") - F.col("mid"))).alias("top")), "marks")
-    rows = rate.join(F.broadcast(marks), F.col("lang_model") == F.col("lm"), "left")  # one row a language with a table
+    marks = base.join(_side(mids), "lm").groupBy("lm", "mid", "n").agg(F.percentile_approx(drawn - F.col("mid"), quantile, 100_000).alias("way"))
+    marks = materialize(marks, "marks")
+    pool = marks.filter(F.col("lm") == POOLED).select(F.col("way").alias("pool_way"))
+    marks = marks.join(F.broadcast(pool), how="left")  # one row
+    way = F.when(F.col("n") >= LEAST_HELD, F.col("way")).otherwise(F.greatest("way", "pool_way"))
+    marks = materialize(marks.select("lm", "mid", (F.col("mid") + way).alias("top")), "thresholds")
+    # a language that has a model but no held-out text takes the pooled mark
+    rest = marks.filter(F.col("lm") == POOLED).select(F.col("mid").alias("_mid"), F.col("top").alias("_top"))
+    rows = rate.join(_side(marks), F.col("lang_model") == F.col("lm"), "left").join(F.broadcast(rest), how="left")
+    rows = rows.withColumns({"mid": F.coalesce("mid", "_mid"), "top": F.coalesce("top", "_top")})
     keep = (F.col("n_chars_scored") > 0) & (F.col("mid").isNull() | (drawn <= F.col("top")))
     return rows.select("doc_id", *extra, "lang_model", "n_chars_scored", F.when(F.col("mid").isNotNull(), F.pow(F.lit(2.0), "rate")).alias("perplexity"), F.pow(F.lit(2.0), "top").alias("threshold"), keep.alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows that classify() rejects."""
-    named = docs.select("doc_id", "lang", "text", F.xxhash64("doc_id", "lang", "text").alias("_h"))
-    bad = materialize(classify(named, labels, ["_h"]).filter(~F.col("keep")).select("_h").distinct(), "rejected")
-    return docs.withColumn("_h", F.xxhash64("doc_id", "lang", "text")).join(bad, "_h", "left_anti").select(docs.columns)
+    """docs without the rows that classify() rejects; their columns may have any names."""
+    h = unused(docs, "h")
+    named = docs.select("doc_id", "lang", "text", F.xxhash64("doc_id", "lang", "text").alias("h"))
+    bad = materialize(classify(named, labels, ["h"]).filter(~F.col("keep")).select(F.col("h").alias(h)).distinct(), "rejected")
+    return docs.withColumn(h, F.xxhash64("doc_id", "lang", "text")).join(bad, h, "left_anti").select(docs.columns)
