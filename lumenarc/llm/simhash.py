@@ -16,13 +16,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window as W
 from xxhash import xxh64_intdigest
 
 from ..operators.components import connected_components
-from ..workspace import materialize
+from ..workspace import by_size, materialize, unused
 
 SEED = 42
+#: A fingerprint that more than one in so many rows have is joined apart from the others.
+HOT_SHARE = 10_000
 
 
 def simhash(text: str | None, shingle: int = 4) -> int:
@@ -53,7 +54,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, fp): the fingerprint of each row as a signed long."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
+        for x in by_size(batches, "t"):
             fp = np.array([simhash(t, shingle) for t in x["t"]], np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": x["doc_id"], "fp": fp})
 
@@ -140,7 +141,7 @@ def _local_stars(fps: np.ndarray, home: np.ndarray, max_bits: int) -> tuple[np.n
     return np.concatenate(ends), np.concatenate(roots)
 
 
-def link_fingerprints(distinct: DataFrame, max_bits: int = 4, bands: int = 3, leaf_rows: int = 1024, split_rows: int = 32_768, max_depth: int = 13) -> DataFrame:
+def link_fingerprints(distinct: DataFrame, max_bits: int = 4, bands: int = 3, leaf_rows: int = 1024, split_rows: int = 32_768, max_depth: int = 16) -> DataFrame:
     """(src, dst): edges that connect the same fingerprints as all pairs within max_bits do, without listing all pairs.
 
     distinct has one column fp (long), each value once. The trees are fitted on a sample of at most 8 * 2**max_depth
@@ -193,15 +194,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member has an id. An empty table gives an empty result; other columns are not read.
     """
     prints = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    reps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
+    reps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "reps")
     edges = link_fingerprints(reps.select("fp"), max_bits)
     roots = connected_components(edges)
     # only fingerprints that stand on an edge need more than their own smallest id
     linked = roots.join(reps, roots.node == reps.fp).select("fp", "root", "rep")
     least = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
     moved = linked.join(least, "root").select("fp", "component_id")
-    class_of = reps.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    return prints.join(class_of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    class_of = materialize(reps.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"), "n"), "classes")
+    # a fingerprint with more than its share of all rows goes to every task, so that none of them reads all its rows
+    most = max(256, prints.count() // HOT_SHARE)
+    hot = F.broadcast(class_of.filter(F.col("n") > most).drop("n"))  # HOT_SHARE rows at most
+    cold = prints.join(F.broadcast(class_of.filter(F.col("n") > most).select("fp")), "fp", "left_anti").join(class_of.drop("n"), "fp")
+    both = prints.join(hot, "fp").unionByName(cold)
+    return both.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -215,5 +221,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kept = docs.join(losers, "doc_id", "left_anti")
     once = kept.join(twice, "doc_id", "left_anti")
     spare = kept.join(twice, "doc_id", "left_semi")
-    first = spare.withColumn("_n", F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns)))).filter("_n = 1").drop("_n")
+    # partial minima before the shuffle: an id that many rows share is no single task
+    n, h = unused(docs, "n"), unused(docs, "h")
+    spare = spare.withColumn(h, F.xxhash64(*docs.columns))
+    first = spare.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), h).alias(n)).select(f"{n}.*")
     return once.select(docs.columns).unionByName(first.select(docs.columns))
