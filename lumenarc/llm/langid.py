@@ -15,11 +15,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
-from ..workspace import materialize, plain
+from ..workspace import by_size, materialize, plain, unused
 
 BUCKETS = 1 << 15
 #: Rows that the classifier is fitted on, at most; shared out evenly among the languages.
 SAMPLE_ROWS = 4000
+#: Entries of their vectors, at most, six bytes each: the fit stops reading rows, in order of their hashes, beyond it.
+SAMPLE_ENTRIES = 40_000_000
 #: Odd multipliers that spread n-grams over the buckets.
 MIX = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 UNKNOWN = "und"
@@ -57,7 +59,7 @@ def _frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df, n = np.zeros(BUCKETS, np.int64), 0
-        for x in batches:
+        for x in by_size(batches, "text"):
             for t in x["text"]:
                 df[_buckets(t)[0]] += 1
             n += len(x)
@@ -96,7 +98,7 @@ def _ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epochs:
     for _ in range(epochs):
         for k in order.permutation(len(rows)):
             at, x, y = rows[k]
-            at, x = np.append(at, BUCKETS), np.append(x, 1.0)
+            at, x = np.append(at.astype(np.int64), BUCKETS), np.append(x.astype(float), 1.0)
             w = weights(at)
             s = x @ w
             p = np.exp(s - s.max())
@@ -125,27 +127,45 @@ def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
+def _fit(sample: list[tuple[np.ndarray, np.ndarray, str]], langs: list[str]) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights, bias and temperature; where there is enough, a fifth of the sample sets the temperature alone."""
+    number = {v: k for k, v in enumerate(langs)}
+    rows = [(at, x, number[lang]) for at, x, lang in sample]
+    held = rows[::5] if len(rows) >= 50 else rows
+    w, bias = _ftrl([s for k, s in enumerate(rows) if k % 5 or len(rows) < 50], len(langs))
+    return w, bias, _temperature(np.array([x @ w[at] + bias for at, x, _ in held]), np.array([y for _, _, y in held]))
+
+
 def train(rows: DataFrame) -> Model:
     """rows: lang and text, both non-null; only those that may be learned from."""
     rows = rows.select("lang", "text").filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     df, total = _frequencies(rows)
     idf = np.log((1 + total) / (1 + df)) + 1
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
+    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in by_size(batches, "text"):
             both = [_vector(t, idf) for t in x["text"]]
             yield plain(pd.DataFrame({"lang": x["lang"], "h": x["h"], "at": [a.astype(np.int16).tobytes() for a, _ in both], "x": [v.astype(np.float32).tobytes() for _, v in both]}))
 
-    got = _sample(rows).mapInPandas(run, "lang string, h long, at binary, x binary").toPandas().sort_values(["h", "lang"])
-    langs = sorted(got["lang"].unique())
-    if not langs:
-        return Model([], idf, np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
-    number = {v: k for k, v in enumerate(langs)}
-    sample = [(np.frombuffer(a, np.int16).astype(np.int64), np.frombuffer(x, np.float32).astype(float), number[v]) for v, a, x in zip(got["lang"], got["at"], got["x"], strict=True)]
-    held = sample[::5] if len(sample) >= 50 else sample
-    w, bias = _ftrl([s for k, s in enumerate(sample) if k % 5 or len(sample) < 50], len(langs))
-    t = _temperature(np.array([x @ w[at] + bias for at, x, _ in held]), np.array([y for _, _, y in held]))
-    return Model(langs, idf, w, bias, t)
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sample, held = [], 0
+        for x in batches:
+            for lang, at, v in zip(x["lang"], x["at"], x["x"], strict=True):
+                if held < SAMPLE_ENTRIES:
+                    sample.append((np.frombuffer(at, np.int16), np.frombuffer(v, np.float32), lang))
+                    held += len(sample[-1][0])
+        langs = sorted({lang for _, _, lang in sample})
+        if langs:
+            w, bias, t = _fit(sample, langs)
+            yield plain(pd.DataFrame({"lang": langs, "at": [np.flatnonzero(c).astype(np.int16).tobytes() for c in w.T], "w": [c[c != 0].tobytes() for c in w.T], "bias": bias, "t": t}))
+
+    # one task of an executor fits the sample, whose size is bounded; the driver gets the weights alone
+    got = _sample(rows).mapInPandas(vectors, "lang string, h long, at binary, x binary").repartition(1).sortWithinPartitions("h", "lang")
+    got = got.mapInPandas(fit, "lang string, at binary, w binary, bias double, t double").toPandas().sort_values("lang")
+    w = np.zeros((BUCKETS, len(got)))
+    for k, (at, v) in enumerate(zip(got["at"], got["w"], strict=True)):
+        w[np.frombuffer(at, np.int16), k] = np.frombuffer(v, float)
+    return Model(list(got["lang"]), idf, w, got["bias"].to_numpy(float), float(got["t"].iloc[0]) if len(got) else 1.0)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -159,7 +179,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        for x in batches:
+        for x in by_size(batches, "_text"):
             pred, score = [UNKNOWN] * len(x), np.zeros(len(x))
             for k, (text, known) in enumerate(zip(x["_text"], x["_letters"], strict=True)):
                 if known and m.langs:
@@ -195,8 +215,9 @@ def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
     said = docs.select(F.xxhash64("text").alias("h"), F.col("lang").isNull().alias("missing"), "text")
     said = materialize(predict(said, model, ["h", "missing"]), "predictions")
     good = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)
-    bad = said.filter(~good).select(F.col("h").alias("__h")).distinct()
-    fill = said.filter(good & F.col("missing")).groupBy(F.col("h").alias("__f")).agg(F.first("lang_pred").alias("__lang"))
-    kept = docs.withColumn("__h", F.xxhash64("text")).join(bad, "__h", "left_anti")
-    kept = kept.join(fill, F.col("lang").isNull() & (F.col("__h") == F.col("__f")), "left")
-    return kept.withColumn("lang", F.coalesce("lang", "__lang")).select(docs.columns)
+    h, f, lang = unused(docs, "h"), unused(docs, "f"), unused(docs, "filled")
+    bad = said.filter(~good).select(F.col("h").alias(h)).distinct()
+    fill = said.filter(good & F.col("missing")).groupBy(F.col("h").alias(f)).agg(F.first("lang_pred").alias(lang))
+    kept = docs.withColumn(h, F.xxhash64("text")).join(bad, h, "left_anti")
+    kept = kept.join(fill, F.col("lang").isNull() & (F.col(h) == F.col(f)), "left")
+    return kept.withColumn("lang", F.coalesce("lang", lang)).select(docs.columns)
