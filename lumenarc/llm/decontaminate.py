@@ -13,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
-from ..workspace import materialize, small_enough
+from ..workspace import materialize, small_enough, unused
 
 #: Fixed value: a word, once A-Z have become lower case.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -45,7 +45,11 @@ def _side(df: DataFrame) -> DataFrame:
 
 def build_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
     """The postings of the given terms (column term) in all of docs, written to the shared folder."""
-    named = terms.select("term").filter(F.col("term") != END).dropna().distinct().coalesce(1).select("term", (F.monotonically_increasing_id() + 1).cast("int").alias("tid"))
+    named = terms.select("term").filter(F.col("term") != END).dropna().distinct()
+    named = materialize(named.select("term", F.spark_partition_id().alias("part"), (F.monotonically_increasing_id() % (1 << 33)).alias("k")), "vocabulary")
+    # numbers without gaps: a partition's first one is the sum of the partitions before it, one row each
+    first = named.groupBy("part").agg(F.count("*").alias("n")).select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n") + 1).alias("first"))
+    named = named.join(F.broadcast(first), "part").select("term", (F.col("first") + F.col("k")).cast("int").alias("tid"))
     named = materialize(named.union(docs.sparkSession.createDataFrame([(END, 0)], "term string, tid int")), "terms")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.posexplode(F.concat(words(F.col(text_col)), F.array(F.lit(END)))).alias("pos", "term"))
     postings = rows.join(_side(named), "term").select("doc_id", "key", "tid", "pos")
@@ -67,7 +71,7 @@ def _item_postings(classes: DataFrame, index: Index) -> DataFrame:
 
 
 def phrase_matches(index: Index, classes: DataFrame, window: int = 13) -> DataFrame:
-    """(doc_id, key, cls, start, hits): alignments where at least one window of the item occurs, and the positions hit."""
+    """(doc_id, key, cls, start, lo, hi): the positions from lo to before hi that an alignment of an item's windows hits."""
     own = _item_postings(classes, index)
     ahead = W.partitionBy("cls").orderBy("ipos").rowsBetween(0, window - 1)
     rare = own.select("cls", "w", "n", "ipos", F.slice(F.array_sort(F.collect_list(F.struct("df", "ipos", "tid")).over(ahead)), 1, RARE).alias("few"))
@@ -91,8 +95,13 @@ def phrase_matches(index: Index, classes: DataFrame, window: int = 13) -> DataFr
     full = full.withColumn("p", F.transform("p", lambda x: F.shiftright(x, 31).cast("int")))
     last = F.size("p") - F.col("w")
     runs = F.when(last >= 0, F.filter(F.sequence(F.lit(0), last), lambda k: F.get("p", k + F.col("w") - 1) - F.get("p", k) == F.col("w") - 1))
-    full = full.select("doc_id", "key", "cls", "start", F.array_distinct(F.flatten(F.transform(runs, lambda k: F.sequence(F.get("p", k), F.get("p", k) + F.col("w") - 1)))).alias("hits"))
-    return full.filter(F.size("hits") > 0)
+    full = full.select("doc_id", "key", "cls", "start", F.transform(runs, lambda k: F.struct(F.get("p", k).alias("lo"), (F.get("p", k) + F.col("w")).alias("hi"))).alias("r"))
+    # windows that meet or overlap are one interval
+    join_up = F.aggregate(
+        "r", F.array().cast("array<struct<lo:int,hi:int>>"),
+        lambda done, x: F.when((F.size(done) > 0) & (F.element_at(done, -1)["hi"] >= x["lo"]), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["lo"].alias("lo"), x["hi"].alias("hi"))))).otherwise(F.concat(done, F.array(x))),
+    )
+    return full.filter(F.size("r") > 0).select("doc_id", "key", "cls", "start", F.explode(join_up).alias("x")).select("doc_id", "key", "cls", "start", "x.lo", "x.hi")
 
 
 def proximity_matches(index: Index, classes: DataFrame, slop: int = 4) -> DataFrame:
@@ -126,9 +135,16 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, id_col: s
     """
     classes = _classes(items, item_col, item_text, window)
     index = build_index(docs, classes.select(F.explode("toks").alias("term")), id_col, text_col)
-    found = phrase_matches(index, classes, window).join(classes.select("cls", "item_ids"), "cls")
-    union = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
-    found = found.groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.size(union("hits")).cast("long").alias("hit"), F.array_sort(union("item_ids")).alias("ids"))
+    spans = materialize(phrase_matches(index, classes, window).select("doc_id", "key", "cls", "lo", "hi"), "spans")
+    ids = spans.select("doc_id", "key", "cls").distinct().join(classes.select("cls", "item_ids"), "cls")
+    ids = ids.groupBy("doc_id", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("ids"))
+    # the length of the union: of each span, in order, what reaches beyond all before it
+    before = F.max("hi").over(W.partitionBy("doc_id", "key").orderBy("lo", "hi").rowsBetween(W.unboundedPreceding, -1))
+    own = F.greatest(F.col("hi") - F.greatest("lo", F.coalesce(before, F.lit(0))), F.lit(0))
+    hits = spans.groupBy("doc_id", "key", "lo").agg(F.max("hi").alias("hi")).withColumn("own", own).groupBy("doc_id", "key").agg(F.sum("own").cast("long").alias("hit"))
+    found = hits.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "hit")
+    ids = ids.select(F.col("doc_id").alias("d2"), F.col("key").alias("k2"), "ids")
+    found = found.join(ids, (F.col("k") == F.col("k2")) & F.col("d").eqNullSafe(F.col("d2")))
     all_docs = index.postings.filter("tid = 0").select("doc_id", "key", F.col("pos").cast("long").alias("n_words"))
     rows = all_docs.join(found, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
     hit, ids = F.coalesce("hit", F.lit(0)).cast("long"), F.coalesce("ids", F.array().cast("array<string>"))
@@ -139,6 +155,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, id_col: s
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the rows that contamination() finds contaminated. Rows with a null doc_id are told apart by text."""
     named = docs.select(F.struct(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h")).alias("doc_id"), "text")
-    bad = contamination(named, items).filter("contaminated").select(F.col("doc_id.d").alias("_d"), F.col("doc_id.h").alias("_h")).distinct()
-    marked = docs.withColumn("_x", F.xxhash64("text"))
-    return marked.join(bad, (F.col("_x") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_anti").drop("_x")
+    d, h, x = (unused(docs, c) for c in ("d", "h", "x"))
+    bad = contamination(named, items).filter("contaminated").select(F.col("doc_id.d").alias(d), F.col("doc_id.h").alias(h)).distinct()
+    marked = docs.withColumn(x, F.xxhash64("text"))
+    return marked.join(bad, (F.col(x) == F.col(h)) & F.col("doc_id").eqNullSafe(F.col(d)), "left_anti").select(docs.columns)

@@ -71,17 +71,89 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan(empty.withColumn("path", F.lit("x"))).count() == 0
 
 
+def slow_kneser_ney(texts):
+    """Bits of a text by a plain interpolated modified Kneser-Ney trigram model: dictionaries and loops over texts."""
+    tri, edge = defaultdict(int), ""
+    for t in texts:
+        s = [edge, edge, *t]
+        for k in range(2, len(s)):
+            tri[tuple(s[k - 2 : k + 1])] += 1
+    two, one = defaultdict(int), defaultdict(int)
+    for g in tri:
+        two[g[1:]] += 1
+    for g in two:
+        one[g[1:]] += 1
+
+    def discounts(n):
+        c = [0, *(sum(v == k for v in n.values()) for k in (1, 2, 3, 4))]
+        out = [0, 0.5, 1.0, 1.0]
+        for k in (1, 2, 3):
+            if c[1] and c[k]:
+                d = k - (k + 1) * c[1] / (c[1] + 2 * c[2]) * c[k + 1] / c[k]
+                out[k] = d if 0.05 <= d <= k - 0.05 else out[k]
+        return out
+
+    d = {id(n): discounts(n) for n in (tri, two, one)}
+
+    def p(g):
+        if not g:
+            return 1 / (len(one) + 1)
+        n = {3: tri, 2: two, 1: one}[len(g)]
+        own = {x: v for x, v in n.items() if x[:-1] == g[:-1]}
+        if not own:
+            return p(g[1:])
+        cut = d[id(n)]
+        off = sum(cut[min(v, 3)] for v in own.values())
+        v = n.get(g, 0)
+        return ((v - cut[min(v, 3)] if v else 0) + off * p(g[1:])) / sum(own.values())
+
+    return lambda t: -sum(np.log2(p(tuple([edge, edge, *t][k : k + 3]))) for k in range(len(t)))
+
+
+def test_quality_by_brute_force(spark, monkeypatch):
+    """Bits, thresholds and decisions of every row; small batches, so that a batch holds few of the texts."""
+    monkeypatch.setattr(quality, "BATCH_BYTES", 500)
+    monkeypatch.setattr(quality, "BATCHES_PER_COPY", 3)
+    monkeypatch.setattr(quality, "WINDOW", 16)
+    import random
+
+    rng = random.Random(4)
+    say = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    words = {"en": ["the", "and", "thing", "other"], "xx": ["αβγ", "ααδ", "你好", "𝄞x"]}
+    rows = [(k, say(words[lang], rng.randint(1, 20)), lang) for k, lang in enumerate(["en"] * 30 + ["xx"] * 20 + ["en"] * 10 + ["xx"] * 5)]
+    rows += [(100, "zzqq!!" * 20, "en"), (101, say(words["en"], 9), None), (102, say(words["xx"], 9), "no model"), (103, None, "en"), (104, "", "xx"), (None, "the", "en"), (0, "again, the id of another", "en")]
+    labels = [(k, 1, 0) for k in range(50)] + [(3, 0, 0), (4, 1, 1), (None, 1, 0), (60, 0, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = {r.text: r.h for r in docs.select("text", quality.held_out().alias("h")).collect()}
+    good = set(range(50)) - {3, 4}
+    taught = [(t, v) for i, t, v in rows if i in good and not held[t]]
+    models = {v: slow_kneser_ney([t for t, w in taught if v in (w, "*")]) for v in ("en", "xx", "*")}
+    of = lambda v: v if v in models else "*"
+    bits = {(t, v): models[of(v)](t) for _, t, v in rows if t}
+    base = defaultdict(list)
+    for i, t, v in rows:
+        if i in good and held[t]:
+            for m in {of(v), "*"}:
+                base[m].append((bits[t, v], len(t)))
+    at = lambda xs, q: sorted(xs)[max(0, int(np.ceil(q * len(xs))) - 1)]
+    mid = {m: at([b / n for b, n in x], 0.5) for m, x in base.items()}
+    drawn = lambda b, n, m: (b + 60 * mid[m]) / (n + 60)
+    way = {m: at([drawn(b, n, m) - mid[m] for b, n in x], 0.995) for m, x in base.items()}
+    top = {m: mid[m] + max(way[m], way["*"]) for m in base}
+    got = sorted((r.doc_id or -1, r.lang_model, r.n_chars_scored, r.perplexity, r.keep, r.threshold) for r in quality.classify(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect())
+    want = []
+    for i, t, v in rows:
+        m = of(v)
+        keep = bool(t) and drawn(bits[t, v], len(t), m) <= top[m] + 1e-12
+        want.append((-1 if i is None else i, m, len(t or ""), 2 ** (bits[t, v] / len(t)) if t else None, keep, 2 ** top[m]))
+    for g, w in zip(got, sorted(want, key=lambda x: (x[0] or -1, *x[1:3])), strict=True):
+        assert (g[0] or -1, *g[1:3], g[4]) == (w[0] or -1, *w[1:3], w[4]) and np.allclose([g[3] or 0, g[5]], [w[3] or 0, w[5]]), (g, w)
+
+
 def test_quality(spark, docs, odd, empty):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    model = quality.train(docs, labels)
-    for table in model.tables.values():
-        assert np.allclose(np.exp2(table.astype(float)).reshape(quality.SYMBOLS**2, -1).sum(axis=1), 1, atol=1e-4)
-    some = docs.filter("doc_id < 30")
-    a = quality.score(some, model, ["doc_id"]).toPandas().set_index("doc_id").bits
-    b = quality.score_by_joins(some, model).toPandas().set_index("doc_id").bits
-    assert np.allclose(a, b[a.index], rtol=1e-5)
     got = quality.classify(docs, labels).toPandas().merge(labels.toPandas(), on="doc_id")
-    assert got[got.quality == 1].keep.mean() > 0.94 and got[got.quality == 0].keep.mean() < 0.6
+    assert got[got.quality == 1].keep.mean() > 0.94 and got[got.quality == 0].keep.mean() < 0.3
     r = quality.classify(odd, labels)
     assert r.count() == len(ODD) and {x.doc_id for x in r.filter("not keep").collect()} >= {1, 2}
     assert quality.classify(empty, labels).count() == 0 and quality.keep_good(empty, labels).columns == empty.columns
@@ -89,6 +161,27 @@ def test_quality(spark, docs, odd, empty):
     assert none.filter("not keep").count() == docs.filter("text is null or text = ''").count()
 
 
+CLASH = ("_h", "h", "h_", "_x", "x", "_n", "n", "__h", "__f", "__lang", "f", "filled", "d", "fp", "batch", "keep", "key", "pos")
+
+
+def test_stages_leave_columns_of_any_name_as_they_are(spark, docs):
+    labels, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("labels", "benchmark"))
+    many = docs.unionByName(docs.filter("doc_id < 9")).withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in CLASH})
+    for stage in (lambda x: quality.keep_good(x, labels), langid.keep_known, simhash.keep_one, lambda x: decontaminate.drop_contaminated(x, items)):
+        got = stage(many)
+        assert got.columns == many.columns
+        rows = got.collect()
+        assert len(rows) > 100 and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in CLASH)
+    once = [r.doc_id for r in simhash.keep_one(many).collect()]
+    assert len(once) == len(set(once))
+
+
+def test_fingerprint_that_a_third_of_all_rows_have(spark):
+    rows = [(k, "one text that many rows have in common" if k % 3 else f"text {k} of its own and no other row's {k * k}") for k in range(1500)]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == 1500 and {got[k] for k in range(1500) if k % 3} == {1}
+
+
 def test_language(spark, docs, odd, empty):
     got = langid.identify(docs).toPandas().merge(docs.select("doc_id", "lang").toPandas(), on="doc_id")
     held = got[got.held_out]
