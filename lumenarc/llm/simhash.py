@@ -22,6 +22,8 @@ from ..operators.components import connected_components
 from ..workspace import by_size, materialize, unused
 
 SEED = 42
+#: The smallest hashes of a text's shingles that its sketch holds.
+SKETCH = 16
 #: A fingerprint that more than one in so many rows have is joined apart from the others.
 HOT_SHARE = 10_000
 
@@ -58,8 +60,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([simhash(t, shingle) for t in x["t"]], np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": x["doc_id"], "fp": fp})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
-    return rows.mapInPandas(run, "doc_id long, fp long")
+    # ids travel as strings: a long among nulls would be rounded on its way
+    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("t"))
+    return rows.mapInPandas(run, "doc_id string, fp long").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _masks(bands: int) -> list[int]:
@@ -141,9 +144,45 @@ def _local_stars(fps: np.ndarray, home: np.ndarray, max_bits: int) -> tuple[np.n
     return np.concatenate(ends), np.concatenate(roots)
 
 
-def link_fingerprints(distinct: DataFrame, max_bits: int = 4, bands: int = 3, leaf_rows: int = 1024, split_rows: int = 32_768, max_depth: int = 16) -> DataFrame:
+def _local_pairs(fps: np.ndarray, home: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within max_bits of the fingerprints that meet in one leaf: each one's nearest, and a tree over each component."""
+    at = np.flatnonzero(home)
+    linked = np.zeros(len(fps), bool)
+    ends, others = [], []
+    step = max(1, 2_000_000 // max(1, len(fps)))
+    for k in range(0, len(at), step):
+        rows = at[k : k + step]
+        bits = np.bitwise_count(fps[rows, None] ^ fps[None, :])
+        bits[np.arange(len(rows)), rows] = 255
+        near = bits <= max_bits
+        linked |= near.any(axis=0)
+        hit = near.any(axis=1)
+        linked[rows] |= hit
+        ends.append(fps[rows[hit]])
+        others.append(fps[bits[hit].argmin(axis=1)])
+    left = np.unique(fps[linked])
+    while len(left):
+        front, left = left[:1], left[1:]
+        while len(front) and len(left):
+            parent = np.full(len(left), -1)
+            step = max(1, 2_000_000 // len(left))
+            for k in range(0, len(front), step):
+                near = np.bitwise_count(front[k : k + step, None] ^ left[None, :]) <= max_bits
+                new = near.any(axis=0) & (parent < 0)
+                parent[new] = k + near[:, new].argmax(axis=0)
+            hit = parent >= 0
+            ends.append(left[hit])
+            others.append(front[parent[hit]])
+            front, left = left[hit], left[~hit]
+    none = np.zeros(0, np.uint64)
+    return np.concatenate([none, *ends]), np.concatenate([none, *others])
+
+
+def link_fingerprints(distinct: DataFrame, max_bits: int = 4, bands: int = 3, leaf_rows: int = 1024, split_rows: int = 32_768, max_depth: int = 16, pairs: bool = False) -> DataFrame:
     """(src, dst): edges that connect the same fingerprints as all pairs within max_bits do, without listing all pairs.
 
+    With `pairs` each edge is itself such a pair: in each leaf the nearest partner of each, and a tree over the linked ones.
+
     distinct has one column fp (long), each value once. The trees are fitted on a sample of at most 8 * 2**max_depth
     fingerprints; every fingerprint is placed. A leaf of over split_rows rows is dealt out as pairs of blocks, each
     pair to a task of its own, so that no task holds an unbounded group; no pair is left out.
@@ -178,13 +217,24 @@ def link_fingerprints(distinct: DataFrame, max_bits: int = 4, bands: int = 3, le
 
     def link(x: pd.DataFrame) -> pd.DataFrame:
         fps = x["fp"].to_numpy(np.int64).view(np.uint64)
-        ends, roots = _local_stars(fps, x["home"].to_numpy(bool), max_bits)
+        ends, roots = (_local_pairs if pairs else _local_stars)(fps, x["home"].to_numpy(bool), max_bits)
         return pd.DataFrame({"src": ends.view(np.int64), "dst": roots.view(np.int64)})
 
     dealt = placed.mapInPandas(deal, "leaf int, fp long, home boolean, a int, b int") if sizes else placed.withColumns({"a": F.lit(0), "b": F.lit(0)})
     return dealt.groupBy("leaf", "a", "b").applyInPandas(link, "src long, dst long")
 
 
+def _labelled(prints: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """prints with the columns of classes (key, n, others), a row a key; n says how many of prints have it.
+
+    A key with more than its share of all rows goes to every task, so that none of them reads all its rows.
+    """
+    most = max(256, prints.count() // HOT_SHARE)
+    hot = F.broadcast(classes.filter(F.col("n") > most).drop("n"))  # HOT_SHARE rows at most
+    cold = prints.join(F.broadcast(classes.filter(F.col("n") > most).select(key)), key, "left_anti").join(classes.drop("n"), key)
+    return prints.join(hot, key).unionByName(cold)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id): one row for each row of docs.
 
@@ -202,20 +252,79 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
     moved = linked.join(least, "root").select("fp", "component_id")
     class_of = materialize(reps.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"), "n"), "classes")
-    # a fingerprint with more than its share of all rows goes to every task, so that none of them reads all its rows
-    most = max(256, prints.count() // HOT_SHARE)
-    hot = F.broadcast(class_of.filter(F.col("n") > most).drop("n"))  # HOT_SHARE rows at most
-    cold = prints.join(F.broadcast(class_of.filter(F.col("n") > most).select("fp")), "fp", "left_anti").join(class_of.drop("n"), "fp")
-    both = prints.join(hot, "fp").unionByName(cold)
+    both = _labelled(prints, class_of, "fp")
     return both.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _shingles(text: str | None, words: int) -> np.ndarray:
+    """The distinct hashes of a text's word shingles; of one with fewer words, that of them all."""
+    own = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    grams = {b" ".join(own[k : k + words]) for k in range(max(1, len(own) - words + 1))} if own else ()
+    return np.unique(np.array([xxh64_intdigest(g, SEED) for g in grams], np.uint64)).view(np.int64)
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, shingle: int = 2, max_bits: int = 7, bands: int = 4) -> DataFrame:
+    """(doc_id, component_id): one row for each row of docs, grouped by the similarity of their word shingles.
+
+    Two texts are linked if their sets of shingles of `words` words have that Jaccard similarity. Candidates are pairs of
+    fingerprints within max_bits, from the same forest of trees; here a fingerprint is of word pairs, which an edited word
+    changes less than longer shingles. Each distinct text stands once. A fingerprint is compared with its nearest and along a
+    tree over those it is linked to, not with all; a sketch of the smallest hashes sorts out most pairs, and the whole sets
+    decide. So a link is never wrong, but one beyond max_bits, or between two that neither choice pairs, is not found.
+
+    component_id is the smallest doc_id that a row reaches, its own included. Texts without words, null ones too, are alike.
+    Repeated rows come back as often; a row with a null doc_id links others. Other columns are not read.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in by_size(batches, "t"):
+            sets = [_shingles(t, words) for t in x["t"]]
+            fp = np.array([simhash(t, shingle) for t in x["t"]], np.uint64).view(np.int64)
+            yield x[["doc_id", "h"]].assign(fp=fp, size=[len(v) for v in sets], sketch=[np.sort(v)[:SKETCH] for v in sets])
+
+    # ids travel as strings: a long among nulls would be rounded on its way
+    named = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").alias("t"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    prints = materialize(named.mapInPandas(run, "doc_id string, h long, fp long, size int, sketch array<long>").withColumn("doc_id", F.col("doc_id").cast(kind)), "prints")
+    nodes = materialize(prints.groupBy("h").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "texts")
+    heads = materialize(nodes.groupBy("fp").agg(F.min("h").alias("m"), F.count("*").alias("k")), "heads")
+    same = nodes.join(heads.filter("k > 1"), "fp").filter("h <> m").select(F.col("h").alias("u"), F.col("m").alias("v"))
+    linked = link_fingerprints(heads.select("fp"), max_bits, bands, pairs=True)
+    linked = linked.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    of = lambda end, name: heads.select(F.col("fp").alias(end), F.col("m").alias(name))
+    met = linked.join(of("src", "u"), "src").join(of("dst", "v"), "dst").select("u", "v").unionByName(same)
+    side = lambda end: nodes.select(F.col("h").alias(end), F.col("size").alias(f"size_{end}"), F.col("sketch").alias(f"sketch_{end}"))
+    met = met.join(side("u"), "u").join(side("v"), "v")
+    lowest = F.slice(F.array_sort(F.array_union("sketch_u", "sketch_v")), 1, SKETCH)
+    shared = F.size(F.array_intersect(F.array_intersect(lowest, "sketch_u"), F.col("sketch_v")))
+    alike = (shared >= F.size(lowest) * (similarity - 0.4)) & (F.least("size_u", "size_v") >= similarity * F.greatest("size_u", "size_v"))
+    met = materialize(met.filter(alike).select("u", "v"), "candidates")
+    # the whole sets, of the texts that are left
+    ids = met.select(F.explode(F.array("u", "v")).alias("h")).distinct()
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in by_size(batches, "t"):
+            yield pd.DataFrame({"h": x["h"], "s": [_shingles(t, words) for t in x["t"]]})
+
+    texts = named.join(ids, "h", "left_semi").groupBy("h").agg(F.first("t").alias("t"))
+    sets = materialize(texts.mapInPandas(whole, "h long, s array<long>"), "sets")
+    pair = met.join(sets.select(F.col("h").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("h").alias("v"), F.col("s").alias("sv")), "v")
+    common = F.size(F.array_intersect("su", "sv"))
+    sure = pair.filter(common >= similarity * (F.size("su") + F.size("sv") - common)).select("u", "v")
+    roots = connected_components(sure, "u", "v")
+    joined = materialize(roots.join(nodes.select("h", "rep"), roots.node == nodes.h).select("h", "root", "rep"), "joined")
+    least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
+    moved = joined.join(least, "root").select("h", "component_id")
+    class_of = materialize(nodes.select("h", "n", "rep").join(moved, "h", "left").select("h", "n", F.coalesce("component_id", "rep").alias("component_id")), "classes")
+    return _labelled(prints.select("doc_id", "h"), class_of, "h").select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the smallest doc_id stays, one row if it repeats.
+    """docs without near-duplicates: of each group of near_copies() the row with the smallest doc_id stays, one if it repeats.
 
     Rows without a doc_id can't be told apart and stay.
     """
-    found = materialize(near_duplicates(docs).select("doc_id", "component_id"), "components")
+    found = materialize(near_copies(docs.select("doc_id", "text")), "components")
     losers = found.filter("doc_id <> component_id").select("doc_id").distinct()
     twice = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     kept = docs.join(losers, "doc_id", "left_anti")
