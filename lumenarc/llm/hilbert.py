@@ -1,14 +1,16 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
 Vectors are extended by one coordinate, so that the largest inner product becomes the smallest distance, and projected
-by several random rotations. Each projection is shifted, quantised and ordered along a Hilbert curve. Along each curve
-the vectors are range-partitioned; a query meets the window of keys around its own, and the windows of all curves merge
-and are reranked by the exact inner product. How wide a window must be is measured: a bounded sample of queries is
-searched by brute force, and the windows become wide enough to hold that share of their true neighbours.
+by several random rotations of the directions in which a sample of them varies most. Each projection is shifted, quantised
+and ordered along a Hilbert curve. Along each curve the vectors are range-partitioned; a query meets the window of keys
+around its own, and the windows of all curves merge and are reranked by the exact inner product. How wide the windows must
+be is measured: a bounded sample of queries is searched by brute force, and each curve's window grows, a step at a time,
+where a step finds most of their true neighbours for the rows that it adds, until the share that is asked for is found.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -21,10 +23,14 @@ from ..workspace import materialize
 
 #: Curves; dimensions of a projection and bits of each of its coordinates (their product is below 63).
 CURVES, DIMS, BITS = 4, 7, 8
+#: Directions of most variance that a projection turns, beyond its dimensions.
+SPARE_DIRECTIONS = 3
+#: A vector that more than one in so many queries ask for is joined apart from the others.
+HOT_SHARE = 10_000
 #: Rows of one block of candidates: what a task holds at a time.
 BLOCK_ROWS = 16_384
 #: Bounds of what is fitted: queries of the sample, vectors that the scale is measured on, bins of a curve.
-SAMPLE_QUERIES, SAMPLE_VECTORS, MOST_BINS = 48, 4096, 16_384
+SAMPLE_QUERIES, SAMPLE_VECTORS, MOST_BINS = 128, 4096, 65_536
 
 
 class Curves(NamedTuple):
@@ -82,6 +88,40 @@ def _keys(m: np.ndarray, c: Curves, query: bool) -> np.ndarray:
     return np.array(out)
 
 
+def _turn(rng: np.random.Generator, n: int) -> np.ndarray:
+    """DIMS random directions in n dimensions, at right angles if there are enough."""
+    return np.linalg.qr(rng.standard_normal((n, DIMS)))[0] if n >= DIMS else rng.standard_normal((n, DIMS))
+
+
+def widths(far: np.ndarray, bins: int, recall: float) -> np.ndarray:
+    """Bins to either side of a query, by curve, from far: true neighbour by curve, how many bins away it stands.
+
+    A neighbour is found if any curve has it in its window. From windows of one bin, the step of one curve that finds most
+    neighbours for each bin that it adds is taken, until the share `recall` is found.
+    """
+    out = np.ones(far.shape[1], np.int64)
+    while len(far) and out.max() < bins:
+        found = (far <= out).any(axis=1)
+        if found.mean() >= recall:
+            break
+        best = (-1.0, 0, bins)
+        for k in range(len(out)):
+            steps = np.sort(far[~found, k])
+            steps = steps[steps > out[k]]
+            if len(steps):
+                gain = np.arange(1, len(steps) + 1) / (np.minimum(2 * steps + 1, bins) - min(2 * out[k] + 1, bins) + 1e-9)
+                at = int(gain.argmax())
+                best = max(best, (float(gain[at]), k, int(steps[at])))
+        out[best[1]] = best[2]
+    # what the later steps have made needless goes again, the narrow windows first
+    for k in np.argsort(out, kind="stable"):
+        rest = (np.delete(far, k, axis=1) <= np.delete(out, k)).any(axis=1)
+        missing = math.ceil(recall * len(far) - 1e-9) - int(rest.sum())
+        left = np.sort(far[~rest, k])
+        out[k] = min(out[k], max(1, int(left[missing - 1]) if 0 < missing <= len(left) else 1 if missing <= 0 else out[k]))
+    return out
+
+
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, v) of the vectors that take part: no null or non-finite component, not zero, of the commonest dimension."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).filter("id is not null and v is not null")
@@ -102,7 +142,7 @@ def _best(q: np.ndarray, qids: np.ndarray, c: np.ndarray, cids: np.ndarray, top:
     return pd.DataFrame({"q": qids[row], "c": cids[at], "score": exact})
 
 
-def search(vectors: DataFrame, is_query: str, top: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = 0.97) -> DataFrame:
+def search(vectors: DataFrame, is_query: str, top: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = 0.96) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query its nearest other rows by inner product, ties to the smaller id.
 
     is_query is a SQL condition on id. Vectors that are null, zero, or hold null or non-finite components take no part,
@@ -116,7 +156,7 @@ def search(vectors: DataFrame, is_query: str, top: int = 20, id_col: str = "vec_
     few = rows.withColumn("r", F.row_number().over(W.partitionBy("v").orderBy("id"))).filter(F.col("r") <= top + 1)
     distinct = materialize(few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.element_at("ids", 1).alias("c"), "v", "ids"), "vectors")
     queries = rows.filter(is_query)
-    asked = materialize(queries.groupBy("v").agg(F.min("id").alias("q")).select("q", "v"), "queries")
+    asked = materialize(queries.groupBy("v").agg(F.min("id").alias("q"), F.count("*").alias("n")).select("q", "v", "n"), "queries")
     n = distinct.count()
     out = "query_id long, rank int, vec_id long, score double"
     if not n or not asked.head(1):
@@ -127,8 +167,9 @@ def search(vectors: DataFrame, is_query: str, top: int = 20, id_col: str = "vec_
     longest = float(distinct.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))).first()[0]) * (1 + 1e-9)
     some = np.array([x.v for x in distinct.select("v").orderBy(F.xxhash64("c")).limit(SAMPLE_VECTORS).collect()], float)
     rng = np.random.default_rng(29)
-    turns = np.array([np.linalg.qr(rng.standard_normal((dim + 1, max(DIMS, 1))))[0] if dim + 1 >= DIMS else rng.standard_normal((dim + 1, DIMS)) for _ in range(CURVES)])
     ext = np.hstack([some, np.sqrt(np.maximum(longest**2 - (some**2).sum(axis=1), 0))[:, None]])
+    main = np.linalg.svd(ext - ext.mean(axis=0), full_matrices=True)[2][: DIMS + SPARE_DIRECTIONS].T
+    turns = np.array([main @ _turn(rng, main.shape[1]) for _ in range(CURVES)])
     at = np.einsum("nd,kdm->knm", ext, turns)
     low, high = np.quantile(at, 0.001, axis=1), np.quantile(at, 0.999, axis=1)
     # the range takes seven eighths of the grid; the shift moves it over the rest
@@ -166,14 +207,12 @@ def search(vectors: DataFrame, is_query: str, top: int = 20, id_col: str = "vec_
     truth = truth.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "c"))).filter(F.col("r") <= top)
     near = truth.select("q", "c").join(placed.select("c", "curve", "key"), "c").toPandas()
     where = {q: k for k, q in enumerate(pids)}
-    far = np.zeros(len(near))
+    far = []
     for k in range(CURVES):
-        own = (near["curve"] == k).to_numpy()
-        mine = np.searchsorted(edges[k], pkeys[k][[where[q] for q in near["q"][own]]], side="right")
-        far[own] = np.abs(np.searchsorted(edges[k], near["key"][own].to_numpy(), side="right") - mine)
-    # a neighbour is found if any curve has it in the window; per probe the mean over its neighbours
-    least = near.assign(far=far).groupby(["q", "c"])["far"].min()
-    width = int(np.quantile(least.to_numpy(), recall, method="higher")) + 1 if len(least) else bins
+        own = near[near["curve"] == k].sort_values(["q", "c"])
+        mine = np.searchsorted(edges[k], pkeys[k][[where[q] for q in own["q"]]], side="right")
+        far.append(np.abs(np.searchsorted(edges[k], own["key"].to_numpy(), side="right") - mine))
+    width = widths(np.array(far).T, bins, recall)
 
     # blocks of whole bins; a block of more than BLOCK_ROWS rows is split by hash, never cut
     counts = {}
@@ -212,7 +251,7 @@ def search(vectors: DataFrame, is_query: str, top: int = 20, id_col: str = "vec_
             keys = _keys(_matrix(x["v"]), shared.value, True)
             for k in range(CURVES):
                 at = np.searchsorted(edge.value[k], keys[k], side="right")
-                lo, hi = np.maximum(at - width, 0), np.minimum(at + width, len(block[k]) - 1)
+                lo, hi = np.maximum(at - width[k], 0), np.minimum(at + width[k], len(block[k]) - 1)
                 got = [(i, j, p) for i, (a, b) in enumerate(zip(block[k][lo], block[k][hi], strict=True)) for j in range(a, b + 1) for p in range(parts[k][j])]
                 i, j, p = np.array(got, np.int64).reshape(-1, 3).T
                 yield pd.DataFrame({"q": x["q"].to_numpy()[i], "v": x["v"].to_numpy()[i], "lo": lo[i].astype(np.int32), "hi": hi[i].astype(np.int32), "curve": np.int32(k), "block": j.astype(np.int32), "part": p.astype(np.int32)})
@@ -237,6 +276,12 @@ def search(vectors: DataFrame, is_query: str, top: int = 20, id_col: str = "vec_
     lists = met.join(distinct.select("c", "ids"), "c").select("q", "score", F.explode("ids").alias("vec_id"))
     lists = lists.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).filter(F.col("r") <= top + 1)
     lists = lists.groupBy("q").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("near"))
-    each = queries.select(F.col("id").alias("query_id"), "v").join(asked, "v").select("query_id", "q").join(lists, "q")
+    lists = materialize(asked.join(lists, "q").select("v", "n", "near"), "lists")
+    each = queries.select(F.col("id").alias("query_id"), "v")
+    # a vector with more than its share of the queries goes to every task, so that none of them reads all its rows
+    most = max(256, (asked.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE)
+    hot = lists.filter(F.col("n") > most)  # HOT_SHARE rows at most
+    cold = each.join(F.broadcast(hot.select("v")), "v", "left_anti").join(lists.select("v", "near"), "v")
+    each = each.join(F.broadcast(hot.select("v", "near")), "v").select("query_id", "near").unionByName(cold.select("query_id", "near"))
     each = each.select("query_id", F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, top).alias("near"))
     return each.select("query_id", F.posexplode("near").alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
