@@ -17,6 +17,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, functions as F
 
@@ -24,6 +25,7 @@ from ..workspace import materialize, new_path, plain
 
 #: Bytes of payload after which a task begins the next archive.
 ARCHIVE_BYTES = 256 << 20
+READ_BYTES = 8 << 20
 CHUNK = 1 << 20
 SALTS = 16
 #: Fixed value: the profile of a revisit of an identical payload.
@@ -199,6 +201,20 @@ def normalise_all(paths: DataFrame) -> DataFrame:
     return _spread(paths).mapInPandas(run, "path string, offset long, length long, type string")
 
 
+def members(f: pa.NativeFile, spans: list[tuple[int, int]]) -> Iterator[tuple[int, bytes]]:
+    """(offset, bytes) of each span (offset, length), in order; neighbours are read together, up to READ_BYTES at once."""
+    k = 0
+    while k < len(spans):
+        n, end = k, spans[k][0]
+        while n < len(spans) and spans[n][0] == end and (n == k or end + spans[n][1] - spans[k][0] <= READ_BYTES):
+            end += spans[n][1]
+            n += 1
+        held = f.read_at(end - spans[k][0], spans[k][0])
+        for offset, length in spans[k:n]:
+            yield offset, held[offset - spans[k][0] : offset - spans[k][0] + length]
+        k = n
+
+
 def read_records(index: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to): each record, read by its offset.
 
@@ -211,8 +227,7 @@ def read_records(index: DataFrame) -> DataFrame:
             for path, own in x.groupby("path", sort=False):
                 fs, at = _fs(path)
                 with fs.open_input_file(at) as f:
-                    for offset, length in zip(own["offset"], own["length"], strict=True):
-                        raw = f.read_at(int(length), int(offset))
+                    for offset, raw in members(f, sorted(zip(own["offset"].tolist(), own["length"].tolist(), strict=True))):
                         warc, http, payload = parse(zlib.decompress(raw, 31))
                         size, digest, kind = int(http["content-length"]), warc["warc-payload-digest"].removeprefix("sha1:"), warc["warc-type"]
                         if kind == "response" and (len(payload) != size or payload_digest(payload) != digest):
