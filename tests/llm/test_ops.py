@@ -53,6 +53,39 @@ def test_ann_recall(spark):
     assert np.mean(hits) >= 0.9
 
 
+def test_window_widths():
+    far = np.array([[0, 9], [9, 0], [3, 9], [9, 9]])
+    assert hilbert.widths(far, 100, 0.75).tolist() == [3, 1] and hilbert.widths(far, 100, 0.5).tolist() == [1, 1]
+    assert (far <= hilbert.widths(far, 100, 1.0)).any(axis=1).all() and hilbert.widths(far[:0], 100, 0.9).tolist() == [1, 1]
+
+
+def test_ann_on_clustered_vectors_reads_a_small_part(spark):
+    """Recall against brute force, and how many of all pairs the windows of the curves hold."""
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((40, 32))
+    v = (centres[rng.integers(0, 40, 4000)] + 0.3 * rng.standard_normal((4000, 32))).astype(np.float32)
+    v[100:140] = v[100]  # copies
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)] + [(20, v[7].tolist())], "vec_id long, embedding array<float>")
+    met = []
+    own = hilbert.widths
+    hilbert.widths = lambda far, bins, recall: met.append((own(far, bins, recall), bins)) or met[-1][0]
+    try:
+        got = hilbert.search(df, "id % 20 = 0").toPandas()
+    finally:
+        hilbert.widths = own
+    width, bins = met[0]
+    assert (np.minimum(2 * width + 1, bins) / bins).sum() < 0.25
+    d = v.astype(float)
+    hits = []
+    for q in range(0, 4000, 20):
+        s = d @ d[q]
+        floor = np.sort(np.delete(s, q))[-20]
+        rows = got[got.query_id == q]
+        assert q not in set(rows.vec_id)
+        hits.append((rows.score >= floor - 1e-9).sum() / 20 if q != 20 else 1.0)
+    assert np.mean(hits) >= 0.9
+
+
 def test_ann_ties_and_odd_vectors(spark):
     rows = [(k, [1.0, 0.0, 0.0], 1) for k in range(60)] + [(100, None, 1), (120, [0.0, 0.0, 0.0], 1), (140, [1.0, None, 0.0], 1), (160, [float("nan"), 1.0, 0.0], 1), (180, [1.0], 1), (61, [0.5, 0.5, 0.0], 1)]
     got = hilbert.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>, ids int"), "id % 20 = 0").toPandas()
@@ -198,6 +231,41 @@ def test_language(spark, docs, odd, empty):
     assert langid.identify(swapped).filter("lang_pred = 'xx'").count() == 0
 
 
+def test_language_vectors_and_scores_by_brute_force(spark):
+    texts = ["The cat", "Ünïcode 你好 𝄞", "a", "x" * 300, "zwei drei"]
+
+    def grams(t):
+        p, out = [ord(c) for c in t.lower()], defaultdict(int)
+        m, mix = 1 << 32, langid.MIX
+        for n in (1, 2, 3):
+            for k in range(len(p) - n + 1):
+                h = p[k] * mix[0] % m
+                for j in range(2, n + 1):
+                    h = ((h ^ j) * mix[1] + p[k + j - 1] * mix[2]) % m
+                out[(h ^ h >> 15) * mix[0] % m >> 17] += 1
+        return out
+
+    for t in texts:
+        at, n = langid._buckets(t)
+        assert dict(zip(at.tolist(), n.tolist(), strict=True)) == grams(t)
+    rows = [(k, t, lang, k) for k, (t, lang) in enumerate([("the cat and the dog " * 3 + str(k), "en") for k in range(40)] + [("der hund und die katze " * 3 + str(k), "de") for k in range(40)])]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string, h long"))
+    df = {}
+    for _, t, _, _ in rows:
+        for g in grams(t):
+            df[g] = df.get(g, 0) + 1
+    assert model.langs == ["de", "en"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, None, "", "12 !?"])], "doc_id long, text string")
+    got = {r.doc_id: r for r in langid.predict(docs, model, ["doc_id"]).collect()}
+    for k, t in enumerate(texts):
+        x = {g: (1 + np.log(n)) * (np.log(81 / (1 + df.get(g, 0))) + 1) for g, n in grams(t).items()}
+        norm = np.sqrt(sum(v * v for v in x.values()))
+        z = [(sum(v / norm * model.weights[g, c] for g, v in x.items()) + model.bias[c]) / model.temperature for c in range(2)]
+        p = np.exp(z) / np.exp(z).sum()
+        assert got[k].lang_pred == model.langs[int(p.argmax())] and got[k].score == pytest.approx(p.max())
+    assert all(got[k].lang_pred == "und" and got[k].score == 0 for k in (5, 6, 7))
+
+
 def test_chat_round_trip(spark):
     rows = [(-2, 0, "sy|st\\p[INST]", "a\\b\\\\</s>|x[["), (-2, 1, "user", "[INST] [ [/INST]<s>\n"), (-2, 1, None, None), (-2, 2, "assistant", "\\</s>\\"), (-3, None, "user", "u"), (-3, 4, "assistant", ""), (-3, 4, "assistant", ""), (None, 0, "user", "<|x|> 😀 </SYS>"), (-4, 0, "assistant", "<" * 2000 + "</s>" * 2000)]
     c = spark.read.parquet(f"{SF}/conversations.parquet").union(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
@@ -366,6 +434,34 @@ def test_mix(spark, docs, odd, empty):
     assert mixing.mixed_documents(empty).count() == 0
 
 
+def test_taken_by_brute_force(spark):
+    """What each document gives, counted slot by slot and word by word."""
+    rows = [(k, " ".join(["w"] * (k * 37 % 211)), None if k % 7 == 0 else f"s{k % 3}") for k in range(120)] + [(5, "w " * 40, "s2"), (500, None, "tiny"), (501, "one two", "tiny")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    packed, plan, slots = mixing.mix(docs, 16)
+    quota = {r.source: (r.blocks, r.slots) for r in plan.collect()}
+    times, seen = defaultdict(int), defaultdict(set)
+    for r in slots.collect():
+        times[r.source, r.block] += 1
+        assert 0 <= r.block < quota[r.source][0] and r.block not in seen[r.source, r.round]  # a round takes a block once
+        seen[r.source, r.round].add(r.block)
+    assert all(sum(n for (s, _), n in times.items() if s == source) == n_slots for source, (_, n_slots) in quota.items())
+    owner, want = {}, defaultdict(list)
+    for r in packed.collect():
+        for w in range(r.start, r.start + r.size):
+            assert (r.source, w) not in owner  # streams have no gaps and no overlaps
+            owner[r.source, w] = (r.doc_id, r.start)
+    given = defaultdict(int)
+    for (source, w), at in owner.items():
+        given[source, at] += times[source, w // 16]
+    for r in packed.collect():
+        want[r.doc_id].append((r.size, given[r.source, (r.doc_id, r.start)]))
+    got = defaultdict(list)
+    for r in mixing.mixed_documents(docs, 16).collect():
+        got[r.doc_id].append((r.size, r.taken))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()} and len(got) == 122
+
+
 def test_targets(spark):
     df = spark.createDataFrame([("b", 100), ("a", 1), ("c", 1000), (None, 10), ("d", 0)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.targets(df).collect()}
