@@ -20,12 +20,18 @@ QUESTIONS = {
     "compare": r"(?i)\b(?:vs\.?|versus|compare|comparison|better|worse|prefer)\b",
     "implement": r"(?i)\b(?:implement|create|build|make|write|code)\b",
 }
-TERMS = (
-    "python javascript typescript java golang rust ruby php swift kotlin react vue angular django flask fastapi express nextjs rails spring "
-    "sql postgresql postgres mysql mongodb redis elasticsearch sqlite docker kubernetes aws gcp azure terraform ansible jenkins github "
-    "api rest graphql websocket async await promise callback authentication authorization oauth jwt cors csrf cache caching cdn "
-    "microservices serverless git ci/cd pipeline deployment container virtualization testing tdd bdd mock fixture nlp llm"
-).split() + ["load balancer", "unit test", "integration test", "machine learning", "deep learning", "neural network"]
+TERMS = [
+    "python", "javascript", "typescript", "java", "golang", "rust", "ruby", "php", "swift", "kotlin",
+    "react", "vue", "angular", "django", "flask", "fastapi", "express", "nextjs", "rails", "spring",
+    "sql", "postgresql", "postgres", "mysql", "mongodb", "redis", "elasticsearch", "sqlite",
+    "docker", "kubernetes", "aws", "gcp", "azure", "terraform", "ansible", "jenkins", "github",
+    "api", "rest", "graphql", "websocket", "async", "await", "promise", "callback",
+    "authentication", "authorization", "oauth", "jwt", "cors", "csrf",
+    "cache", "caching", "cdn", "load balancer", "microservices", "serverless",
+    "git", "ci/cd", "pipeline", "deployment", "container", "virtualization",
+    "testing", "unit test", "integration test", "tdd", "bdd", "mock", "fixture",
+    "machine learning", "deep learning", "neural network", "nlp", "llm",
+]
 LANGUAGE_ALIASES = {"py": "python", "js": "javascript", "ts": "typescript", "sh": "bash", "shell": "bash", "yml": "yaml", "rb": "ruby", "rs": "rust"}
 
 # scoring
@@ -39,8 +45,8 @@ GRADES = [(95, "A+"), (90, "A"), (87, "A-"), (85, "B+"), (75, "B"), (70, "B-"),
 PII = [
     ("email", r"(?i)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,7}\b", 2, 0.95),
     ("phone", r"(?:\+?1[-.\s]?)?(?:\(?\d{3}\)?[-.\s]?)?\d{3}[-.\s]?\d{4}\b", 2, 0.8),
-    ("ssn", r"\b(?!000|666|9\d{2})\d{3}[-\s]?(?!00)\d{2}[-\s]?(?!0000)\d{4}\b", 4, 0.85),
-    ("credit_card", r"\b(?:4[0-9]{12}(?:[0-9]{3})?|5[1-5][0-9]{14}|3[47][0-9]{13}|6(?:011|5[0-9]{2})[0-9]{12}|(?:\d{4}[-\s]?){3}\d{4})\b", 4, 0.9),
+    ("ssn", r"\b(?!000|666|9\d{2})\d{3}[-\s]?(?!00)\d{2}[-\s]?(?!0000)\d{4}\b", 3, 0.85),
+    ("credit_card", r"\b(?:4[0-9]{12}(?:[0-9]{3})?|5[1-5][0-9]{14}|3[47][0-9]{13}|6(?:011|5[0-9]{2})[0-9]{12}|(?:\d{4}[-\s]?){3}\d{4})\b", 3, 0.9),
     ("api_key", r"(?i)\b(?:sk-[a-zA-Z0-9]{32,}|sk-ant-[a-zA-Z0-9-]{32,}|api[_-]?key[\"'\s:=]+[\"']?[a-zA-Z0-9_-]{20,}[\"']?|bearer\s+[a-zA-Z0-9_-]{20,}|token[\"'\s:=]+[\"']?[a-zA-Z0-9_-]{20,}[\"']?)\b", 4, 0.9),
     ("aws_key", r"(?i)\b(?:AKIA[0-9A-Z]{16}|aws[_-]?(?:secret[_-]?)?(?:access[_-]?)?key[\"'\s:=]+[\"']?[A-Za-z0-9/+=]{40}[\"']?)\b", 4, 0.95),
     ("ip_address", r"\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b", 1, 0.9),
@@ -49,7 +55,7 @@ PII = [
     ("date_of_birth", r"\b(?:(?:0?[1-9]|1[0-2])[/-](?:0?[1-9]|[12][0-9]|3[01])[/-](?:19|20)\d{2}|(?:19|20)\d{2}[/-](?:0?[1-9]|1[0-2])[/-](?:0?[1-9]|[12][0-9]|3[01])|(?:0?[1-9]|[12][0-9]|3[01])[/-](?:0?[1-9]|1[0-2])[/-](?:19|20)\d{2})\b", 2, 0.7),
 ]
 PII_DEFAULT = ["email", "phone", "ssn", "credit_card", "api_key", "aws_key", "ip_address"]
-PRIVATE_IP = ["10.", "192.168.", "127.", "0.", "172.16.", "172.17.", "172.18.", "172.19.", "172.20.", "172.21.", "172.22.", "172.23.", "172.24.", "172.25.", "172.26.", "172.27.", "172.28.", "172.29.", "172.30.", "172.31.", "169.254."]
+PRIVATE_IP = ["127.", "0.", "255.", "192.168.", "10."]
 
 # Chains and segments
 CONTINUATIONS = [r"(?i)(?:as|like)\s+(?:I|we)\s+(?:mentioned|discussed|said)\s+(?:earlier|before|previously)", r"(?i)continuing\s+(?:from|with|on)\s+(?:my|our|the)\s+(?:previous|earlier|last)", r"(?i)(?:back|returning)\s+to\s+(?:the|my|our)\s+(?:earlier|previous)", r"(?i)(?:following|building)\s+(?:up|on)\s+(?:from|what)", r"(?i)(?:still|again)\s+(?:having|getting|seeing)\s+(?:the|this|that)\s+(?:same|similar)", r"(?i)(?:remember|recall)\s+(?:when|that|the)\s+(?:we|I)"]
@@ -64,7 +70,55 @@ CONCEPTS = {
     "deployment": r"(?i)\bdeploy\b|production|server|hosting|cloud", "data": r"(?i)\bdata\b|dataset|csv|json|parse|transform", "ui": r"(?i)\bui\b|ux|interface|frontend|css|style|layout",
 }
 SYNONYMS = {
-    "money": "finance budget cost price payment salary investment banking financial".split(), "family": "parent child spouse relative brother sister mother father kids".split(), "work": "job career employment office business professional colleague project".split(),
-    "travel": "trip vacation journey flight hotel tourism destination visit".split(), "food": "eat restaurant cooking recipe meal dinner lunch breakfast".split(), "technology": "computer software programming coding tech digital app website".split(),
-    "health": "medical doctor hospital medicine wellness fitness exercise therapy".split(), "education": "school learning study course university teaching academic student".split(), "creative": "art design music writing painting photography creative artistic".split(), "personal": "private individual myself personal self own me my".split(),
+    "money": ["finance", "budget", "cost", "price", "payment", "salary", "investment", "banking", "financial"],
+    "family": ["parent", "child", "spouse", "relative", "brother", "sister", "mother", "father", "kids"],
+    "work": ["job", "career", "employment", "office", "business", "professional", "colleague", "project"],
+    "travel": ["trip", "vacation", "journey", "flight", "hotel", "tourism", "destination", "visit"],
+    "food": ["eat", "restaurant", "cooking", "recipe", "meal", "dinner", "lunch", "breakfast"],
+    "technology": ["computer", "software", "programming", "coding", "tech", "digital", "app", "website"],
+    "health": ["medical", "doctor", "hospital", "medicine", "wellness", "fitness", "exercise", "therapy"],
+    "education": ["school", "learning", "study", "course", "university", "teaching", "academic", "student"],
+    "creative": ["art", "design", "music", "writing", "painting", "photography", "creative", "artistic"],
+    "personal": ["private", "individual", "myself", "personal", "self", "own", "me", "my"],
+}
+
+# Entities of the graph
+TECHNOLOGIES = {
+    "python": r"(?i)\bpython\b", "javascript": r"(?i)\bjavascript\b|\bjs\b", "typescript": r"(?i)\btypescript\b|\bts\b", "rust": r"(?i)\brust\b",
+    "go": r"(?i)\bgolang\b|\bgo\b(?!\s+(?:to|for|ahead|back))", "java": r"(?i)\bjava\b(?!script)", "c++": r"(?i)\bc\+\+\b|\bcpp\b", "ruby": r"(?i)\bruby\b",
+    "php": r"(?i)\bphp\b", "swift": r"(?i)\bswift\b", "kotlin": r"(?i)\bkotlin\b",
+    "react": r"(?i)\breact\b", "vue": r"(?i)\bvue(?:\.?js)?\b", "angular": r"(?i)\bangular\b", "django": r"(?i)\bdjango\b", "flask": r"(?i)\bflask\b",
+    "fastapi": r"(?i)\bfastapi\b", "express": r"(?i)\bexpress\b", "nextjs": r"(?i)\bnext\.?js\b", "rails": r"(?i)\brails\b|\bruby on rails\b",
+    "docker": r"(?i)\bdocker\b", "kubernetes": r"(?i)\bkubernetes\b|\bk8s\b", "git": r"(?i)\bgit\b(?!hub)", "github": r"(?i)\bgithub\b",
+    "npm": r"(?i)\bnpm\b", "pip": r"(?i)\bpip\b", "webpack": r"(?i)\bwebpack\b", "vite": r"(?i)\bvite\b",
+    "postgresql": r"(?i)\bpostgres(?:ql)?\b", "mysql": r"(?i)\bmysql\b", "mongodb": r"(?i)\bmongodb\b|\bmongo\b", "redis": r"(?i)\bredis\b", "sqlite": r"(?i)\bsqlite\b",
+    "aws": r"(?i)\baws\b|\bamazon web services\b", "gcp": r"(?i)\bgcp\b|\bgoogle cloud\b", "azure": r"(?i)\bazure\b",
+}
+CONCEPT_WORDS = {
+    "api": r"(?i)\bapi\b|\brest\b|\bgraphql\b", "authentication": r"(?i)\bauth(?:entication)?\b|\boauth\b|\bjwt\b",
+    "testing": r"(?i)\btest(?:ing|s)?\b|\bunit test\b|\bpytest\b|\bjest\b", "deployment": r"(?i)\bdeploy(?:ment)?\b|\bci/?cd\b",
+    "debugging": r"(?i)\bdebug(?:ging)?\b|\btroubleshoot", "performance": r"(?i)\bperformance\b|\boptimiz(?:e|ation)\b",
+    "security": r"(?i)\bsecurity\b|\bvulnerabilit(?:y|ies)\b", "database": r"(?i)\bdatabase\b|\bsql\b|\bquery\b",
+    "frontend": r"(?i)\bfrontend\b|\bclient.?side\b|\bui\b", "backend": r"(?i)\bbackend\b|\bserver.?side\b",
+    "async": r"(?i)\basync\b|\bpromise\b|\bconcurrency\b", "caching": r"(?i)\bcach(?:e|ing)\b", "logging": r"(?i)\blog(?:ging|s)?\b",
+    "error_handling": r"(?i)\berror handling\b|\bexception\b",
+}
+ERROR_NAME = r"(?i)(\w+(?:Error|Exception|Failure))(?:\s*:|:\s*|\s+)"
+FILE_NAME = r"[\w./\\-]+\.(?:py|js|ts|jsx|tsx|java|go|rs|rb|php|vue|json|yaml|yml|toml|sql|md|html|css|scss)"
+
+# Signs of a project
+PATH = r"(?m)(?:^|[\s'\"(])(/(?:home|Users|var|opt|srv|projects?|repos?|work|code)/[a-zA-Z0-9_.-]+/[a-zA-Z0-9_./+-]+)"
+REPOSITORY = r"(?i)(?:repository|repo|project|codebase)\s+(?:called\s+)?[\"']?([a-zA-Z][a-zA-Z0-9_-]+)[\"']?"
+HOSTED = r"(?i)(?:github\.com|gitlab\.com|bitbucket\.org)/([a-zA-Z0-9_-]+/[a-zA-Z0-9_-]+)"
+STACKS = {
+    "react_frontend": ["react", "jsx", "tsx", "webpack", "vite", "next.js", "nextjs"],
+    "vue_frontend": ["vue", "vuex", "nuxt", "pinia"],
+    "angular_frontend": ["angular", "rxjs", "ngrx"],
+    "python_backend": ["flask", "django", "fastapi", "sqlalchemy", "celery"],
+    "node_backend": ["express", "nestjs", "koa", "prisma"],
+    "rust_systems": ["rust", "cargo", "tokio", "actix"],
+    "go_systems": ["golang", "gin", "goroutine"],
+    "data_science": ["pandas", "numpy", "scikit-learn", "tensorflow", "pytorch"],
+    "devops": ["docker", "kubernetes", "k8s", "terraform", "ansible"],
+    "mobile": ["react native", "flutter", "swift", "kotlin"],
 }

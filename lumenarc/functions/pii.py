@@ -65,13 +65,18 @@ def find(text: str, types: list[str], allowed: frozenset[str] = frozenset(), lea
 
 
 def _mask(kind: str, v: str) -> str:
-    if kind == "email":
+    """v with little left to see: of short names and values nothing."""
+    digits = re.sub(r"\D", "", v)
+    if kind == "email" and v.count("@") == 1:
         name, _, domain = v.partition("@")
-        return name[:2] + "*" * max(0, len(name) - 2) + "@" + domain
-    if kind in ("credit_card", "ssn", "phone"):
-        digits = re.sub(r"\D", "", v)
-        return "*" * (len(digits) - 4) + digits[-4:]
-    return v[:2] + "*" * max(0, len(v) - 4) + v[-2:] if len(v) > 4 else "*" * len(v)
+        return (name[:2] if len(name) > 2 else "").ljust(len(name), "*") + "@" + domain
+    if kind == "ssn":
+        return "***-**-" + v[-4:]
+    if kind == "ip_address":
+        return v.partition(".")[0] + ".***.***.*"
+    if kind in ("credit_card", "phone") and len(digits) >= 4:
+        return digits[-4:].rjust(len(digits), "*")
+    return v[:2] + "*" * (len(v) - 4) + v[-2:] if len(v) > 4 else "*" * len(v)
 
 
 MODES = {
@@ -107,5 +112,20 @@ def vault(scrubbed: DataFrame) -> DataFrame:
     return scrubbed.select(F.explode("matches").alias("m")).select("m.token", "m.type", "m.value").distinct()
 
 
+def types_found(text: Column, types: list[str] | None = None) -> Column:
+    """The names of the types that text has candidates of, in the order of the list."""
+    return F.filter(F.array(*[F.when(text.rlike(r), F.lit(n)) for n, r, _, _ in P.PII if n in (types or P.PII_DEFAULT)]), lambda x: x.isNotNull())
+
+
+def route(text: Column, types: list[str] | None = None) -> Column:
+    """Where a text may be enriched: `local` if it has personal data, else `remote`."""
+    return F.when(has_pii(text, types), "local").otherwise("remote")
+
+
+def forget(kept: DataFrame, tokens: DataFrame) -> DataFrame:
+    """A vault without some tokens."""
+    return kept.join(tokens.select("token").distinct(), "token", "left_anti")
+
+
 def audit(scrubbed: DataFrame) -> DataFrame:
     return scrubbed.select(F.explode("matches").alias("m")).groupBy("m.type", "m.severity").agg(F.count("*").alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
-from ..workspace import materialize
+from ..workspace import materialize, small_enough
 from . import patterns as P, text as T
 
 
@@ -78,16 +78,36 @@ def percentiles(df: DataFrame, score: str) -> DataFrame:
 
     Scores are few, rows are many: ranks come from a count a score, joined back.
     """
-    counts = df.groupBy(score).agg(F.count("*").alias("_n"))
-    upto = W.orderBy(score).rowsBetween(W.unboundedPreceding, -1)
-    ranks = counts.withColumn("_rank", F.coalesce(F.sum("_n").over(upto), F.lit(0)) + 1).withColumn("_all", F.sum("_n").over(W.partitionBy()))
-    return df.join(F.broadcast(ranks.select(F.col(score).alias("_s"), (100 * F.col("_rank") / F.col("_all")).alias("percentile"))), F.col(score).eqNullSafe(F.col("_s"))).drop("_s")
+    counts = materialize(df.groupBy(score).agg(F.count("*").alias("_n")), "counts")
+    # in two levels: sums inside ranges of scores, then over the ranges, of which there are few
+    parts = counts.repartitionByRange(score).select("*", F.spark_partition_id().alias("_part"))
+    parts = materialize(parts, "ranges")
+    before = parts.groupBy("_part").agg(F.sum("_n").alias("_sum")).select("_part", (F.sum("_sum").over(W.orderBy("_part")) - F.col("_sum")).alias("_before"), F.sum("_sum").over(W.partitionBy()).alias("_all"))
+    upto = W.partitionBy("_part").orderBy(score).rowsBetween(W.unboundedPreceding, -1)
+    ranks = parts.withColumn("_rank", F.coalesce(F.sum("_n").over(upto), F.lit(0)) + 1).join(F.broadcast(before), "_part")
+    ranks = ranks.select(F.col(score).alias("_s"), (100 * (F.col("_rank") + F.col("_before")) / F.col("_all")).alias("percentile"))
+    ranks = F.broadcast(ranks) if small_enough(counts, 200_000) else ranks
+    return df.join(ranks, F.col(score).eqNullSafe(F.col("_s"))).drop("_s")
+
+
+def verdict(scores: dict[str, Column]) -> Column:
+    """A sentence from the dimensions: up to two strengths (75 and more) and two gaps (40 and less)."""
+    names = lambda cond: F.array_join(F.slice(F.filter(F.array(*[F.when(cond(c), F.lit(n.replace("_", " "))) for n, c in scores.items()]), lambda x: x.isNotNull()), 1, 2), " and ")
+    strong, weak = names(lambda c: c >= 75), names(lambda c: c <= 40)
+    said = F.concat_ws("; ", F.when(strong != "", F.concat(F.lit("strong in "), strong)), F.when(weak != "", F.concat(F.lit("weak in "), weak)))
+    return F.when(said == "", "balanced").otherwise(said)
+
+
+def term_frequency(rows: DataFrame, id_col: str, terms: str) -> DataFrame:
+    """(term, rows): in how many rows each term occurs."""
+    return rows.select(id_col, F.explode(F.array_distinct(terms)).alias("term")).groupBy("term").agg(F.count("*").alias("rows"))
 
 
 def score_all(rows: DataFrame, text: str = "text", turns: str | None = None, summary: str | None = None) -> DataFrame:
     """rows with the five dimensions, overall, grade and percentile. Rare terms are those in at most two rows."""
     t = F.col(text)
-    df = materialize(rows.withColumn("_id", F.xxhash64(*rows.columns)).withColumn("_terms", T.terms(t)), "terms")
+    # numbers tell rows apart, also those that are alike; they are written, so they stay
+    df = materialize(rows.withColumn("_id", F.monotonically_increasing_id()).withColumn("_terms", T.terms(t)), "terms")
     seen = df.select("_id", F.explode("_terms").alias("term"))
     rare = seen.groupBy("term").agg(F.count("*").alias("n")).filter("n <= 2").select("term")
     per = seen.join(rare, "term", "left_semi").groupBy("_id").agg(F.count("*").alias("_rare"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import patterns as P
 
@@ -32,8 +32,12 @@ def code_blocks(text: Column) -> Column:
 
 
 def code_languages(text: Column) -> Column:
+    return language_names(all_matches(text, P.CODE_BLOCK, 1))
+
+
+def language_names(found: Column) -> Column:
     alias = F.create_map(*[F.lit(x) for kv in P.LANGUAGE_ALIASES.items() for x in kv])
-    names = F.filter(F.transform(all_matches(text, P.CODE_BLOCK, 1), F.lower), lambda x: x != "")
+    names = F.filter(F.transform(found, F.lower), lambda x: x != "")
     return F.array_sort(F.array_distinct(F.transform(names, lambda x: F.coalesce(alias[x], x))))
 
 
@@ -46,7 +50,11 @@ def host(url: Column) -> Column:
 
 
 def link_domains(text: Column) -> Column:
-    return F.slice(F.array_sort(F.array_distinct(F.transform(urls(text), host))), 1, 10)
+    return domains_of(urls(text))
+
+
+def domains_of(found: Column) -> Column:
+    return F.slice(F.array_sort(F.array_distinct(F.transform(found, host))), 1, 10)
 
 
 def files(text: Column) -> Column:
@@ -58,24 +66,40 @@ def question_count(text: Column) -> Column:
     return F.char_length(text) - F.char_length(F.replace(text, F.lit("?")))
 
 
-def terms(text: Column) -> Column:
-    """Technical terms by falling count, then by name; 30 at most."""
-    found = all_matches(F.lower(text), r"\b(?:" + "|".join(sorted(P.TERMS, key=lambda t: (-len(t), t))) + r")\b")
+def term_matches(text: Column) -> Column:
+    """Every technical term of a text: single words by equality of tokens, the others by one pattern."""
+    low = F.lower(text)
+    single, others = [t for t in P.TERMS if t.isalnum()], [t for t in P.TERMS if not t.isalnum()]
+    words = F.filter(all_matches(low, r"[\p{L}\p{N}_]+"), lambda w: w.isin(single))
+    return F.concat(words, all_matches(low, r"\b(?:" + "|".join(others) + r")\b"))
+
+
+def ranked_terms(found: Column) -> Column:
+    """Terms by falling count, then by name; 30 at most. There are no more than the list has."""
     counted = F.transform(F.array_distinct(found), lambda t: F.struct((-F.size(F.filter(found, lambda x: x == t))).alias("n"), t.alias("t")))
     return F.slice(F.transform(F.array_sort(counted), lambda x: x["t"]), 1, 30)
 
 
+def terms(text: Column) -> Column:
+    """Technical terms by falling count, then by name; 30 at most."""
+    return ranked_terms(term_matches(text))
+
+
 def turns_marked(text: Column) -> Column:
     return F.least(F.regexp_count(text, F.lit(r"(?im)^(?:USER|Human|You):")), F.regexp_count(text, F.lit(r"(?im)^(?:ASSISTANT|Claude|ChatGPT|Gemini|AI):")))
 
 
-def features(text: Column) -> list[Column]:
-    """All columns of the model-free feature extraction."""
-    return [
-        (F.size(code_blocks(text)) > 0).alias("has_code"), code_languages(text).alias("code_languages"), F.size(code_blocks(text)).alias("code_block_count"), any_of(text, P.ERRORS).alias("has_error_traces"),
-        (F.size(urls(text)) > 0).alias("has_links"), link_domains(text).alias("link_domains"), urls(text).alias("link_urls"), question_count(text).alias("question_count"), which(text, P.QUESTIONS).alias("question_types"),
-        terms(text).alias("technical_terms"), files(text).alias("mentioned_files"), turns_marked(text).alias("turn_count"),
-    ]
+def features(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """keep and all columns of the model-free feature extraction; what several columns need is found once."""
+    t = F.col(text)
+    parts = {"_blocks": code_blocks(t), "_names": all_matches(t, P.CODE_BLOCK, 1), "_urls": urls(t), "_terms": term_matches(t)}
+    rows = df.select(*keep, t.alias("_text"), *[c.alias(n) for n, c in parts.items()])
+    t = F.col("_text")
+    return rows.select(
+        *keep, (F.size("_blocks") > 0).alias("has_code"), language_names(F.col("_names")).alias("code_languages"), F.size("_blocks").alias("code_block_count"), any_of(t, P.ERRORS).alias("has_error_traces"),
+        (F.size("_urls") > 0).alias("has_links"), domains_of(F.col("_urls")).alias("link_domains"), F.col("_urls").alias("link_urls"), question_count(t).alias("question_count"), which(t, P.QUESTIONS).alias("question_types"),
+        ranked_terms(F.col("_terms")).alias("technical_terms"), files(t).alias("mentioned_files"), turns_marked(t).alias("turn_count"),
+    )
 
 
 def title(text: Column) -> Column:

@@ -6,14 +6,25 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import connected_components
 
+#: Entities of one group that meet in one array, at most twice as many.
+BLOCK = 256
+
 
 def edges(rows: DataFrame, group: str, entity: str) -> DataFrame:
     """(a, b, groups, weight): pairs a < b that share groups; weight is 1 + the number of groups.
 
-    Group members meet in an array of their distinct entities, so only real pairs are made.
+    Group members meet in arrays of their distinct entities, so only real pairs are made. A group with more than BLOCK
+    entities is dealt out as pairs of blocks: no array holds more than two blocks of it.
     """
-    sets = rows.select(group, entity).dropna().distinct().groupBy(group).agg(F.sort_array(F.collect_list(entity)).alias("e"))
-    pairs = F.flatten(F.transform("e", lambda x, i: F.transform(F.slice("e", i + 2, F.size("e")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    own = rows.select(group, entity).dropna().distinct()
+    blocks = own.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).alias("_n"))
+    own = own.join(blocks, group).withColumn("_k", F.pmod(F.xxhash64(entity), F.col("_n")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))
+    dealt = own.withColumn("_o", other).groupBy(group, F.least("_k", "_o").alias("_a"), F.greatest("_k", "_o").alias("_b"))
+    sets = dealt.agg(F.sort_array(F.collect_list(F.struct(F.col(entity).alias("v"), F.col("_k").alias("k")))).alias("e"))
+    met = lambda x, y: (F.col("_a") == F.col("_b")) | (x["k"] != y["k"])
+    others = lambda x, i: F.filter(F.slice("e", i + 2, F.size("e")), lambda y: met(x, y))
+    pairs = F.flatten(F.transform("e", lambda x, i: F.transform(others(x, i), lambda y: F.struct(x["v"].alias("a"), y["v"].alias("b")))))
     out = sets.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("groups"))
     return out.withColumn("weight", (F.col("groups") + 1).cast("double"))
 

@@ -33,11 +33,20 @@ def sigma_outliers(df: DataFrame, value: str, sigmas: float = 2.0) -> DataFrame:
     return df.join(F.broadcast(stats)).agg(F.first("mean").alias("mean"), F.first("std").alias("std"), F.first("total").alias("total"), F.count_if(F.col(value) < F.col("mean") - sigmas * F.col("std")).alias("low"))
 
 
-def indexed_percentile(values: Column, p: float, least: int = 0) -> Column:
-    """The value at int(n * p) of the sorted values, or the largest if there are no more than `least`."""
-    sorted_ = F.sort_array(values)
-    at = F.least((F.size(values) * p).cast("int") + 1, F.size(values))
-    return F.when(F.size(values) > least, F.element_at(sorted_, at)).otherwise(F.array_max(values))
+def indexed_percentiles(df: DataFrame, by: list[str], value: str, wanted: dict[str, tuple[float, int]]) -> DataFrame:
+    """(by, n, mean, largest, a column a wanted percentile): the value at int(n * p) of a group's sorted values.
+
+    A percentile with a least number of values takes the largest where there are no more than that. Values are counted first, so
+    a group is as large as its distinct values are many, and nothing is gathered in one row.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    upto = W.partitionBy(*by).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    rows = counts.withColumns({"_upto": F.sum("_n").over(upto), "_all": F.sum("_n").over(W.partitionBy(*by))})
+    at = lambda p: F.least(F.floor(F.col("_all") * p), F.col("_all") - 1)
+    holds = lambda p: (F.col("_upto") > at(p)) & (F.col("_upto") - F.col("_n") <= at(p))
+    pick = lambda p, least: F.coalesce(F.max(F.when(holds(p) & (F.col("_all") > least), F.col("_v"))), F.max("_v"))
+    mean = F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")
+    return rows.groupBy(*by).agg(F.sum("_n").alias("n"), mean.alias("mean"), F.max("_v").alias("largest"), *[pick(p, least).alias(n) for n, (p, least) in wanted.items()])
 
 
 def slope(df: DataFrame, order: str, value: str, by: list[str], flat: float = 0.01) -> DataFrame:

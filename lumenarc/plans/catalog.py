@@ -2,36 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import pii, scoring, stem, text as T
 from ..operators import clusters, components, context, costs, evaluate, graph, search, segments, tables, trends, vectors
 from ..streaming import ingest
-
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def _query(sql: str | None = None):
-    def add(f):
-        _QUERIES[f.__name__] = lambda spark, sf_dir, f=f: f(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
+from .registry import oracle_sql, queries, query as _query  # noqa: F401
 
 TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 
@@ -120,12 +97,6 @@ def filtered_page(read):
     return tables.page(o, 2, 25, F.desc("o_totalprice"), F.col("o_orderkey")).select("o_orderkey", "o_totalprice")
 
 
-@_query(r"SELECT doc_id, regexp_replace(substr(text, 1, 200), '(?i)(the|tion)', '<mark>\1</mark>', 'g') AS marked FROM documents")
-def highlights(read):
-    return read("documents").select("doc_id", search.highlight(F.substring("text", 1, 200), ["the", "tion", "x"]).alias("marked"))
-
-
-# highlights and its SQL see the first 200 characters of a text; this one the whole of it.
 @_query(r"SELECT doc_id, sha256(regexp_replace(text, '(?i)(the|tion)', '<mark>\1</mark>', 'g')) AS digest FROM documents")
 def highlights_all(read):
     return read("documents").select("doc_id", F.sha2(search.highlight(F.col("text"), ["the", "tion", "x"]), 256).alias("digest"))
@@ -193,7 +164,7 @@ def zero_token_features(read):
 
 @_query()
 def zero_token_all(read):
-    return read("documents").select("doc_id", *T.features(F.col("text")))
+    return T.features(read("documents"), "text", ["doc_id"])
 
 
 @_query()
@@ -258,48 +229,11 @@ def titles(read):
     return read("documents").select("doc_id", T.title(F.col("text")).alias("title"), F.char_length(T.middle_cut(F.col("text"), 400)).alias("cut"))
 
 
-_PAIRS = "WITH x AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_partkey <= 400), e AS (SELECT a.l_partkey AS a, b.l_partkey AS b, count(*) AS groups, count(*) + 1.0 AS weight FROM x a JOIN x b USING (l_orderkey) WHERE a.l_partkey < b.l_partkey GROUP BY 1, 2)"
-
-
-def _edges(read):
-    return graph.edges(read("lineitem").filter("l_partkey <= 400"), "l_orderkey", "l_partkey")
-
-
-@_query(f"{_PAIRS} SELECT a, b, groups, weight::DOUBLE AS weight FROM e")
-def cooccurrence_edges(read):
-    return _edges(read)
-
-
 @_query("SELECT l_partkey, count(*) AS mentions, count(DISTINCT l_orderkey) AS groups FROM lineitem GROUP BY 1 ORDER BY mentions DESC, l_partkey LIMIT 50")
 def graph_top_nodes(read):
     return graph.nodes(read("lineitem"), "l_orderkey", "l_partkey").orderBy(F.desc("mentions"), "l_partkey").limit(50)
 
 
-@_query(f"{_PAIRS} SELECT CASE WHEN a = 11 THEN b ELSE a END AS entity, weight::DOUBLE AS weight FROM e WHERE a = 11 OR b = 11 ORDER BY weight DESC, entity LIMIT 10")
-def graph_related(read):
-    return graph.related(_edges(read), 11)
-
-
-
-
-@_query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, -(o_orderkey // 40) - 1 AS b FROM orders WHERE o_totalprice > 100000),
-  n AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS x FROM n UNION SELECT r.node, n.b FROM r JOIN n ON r.x = n.a WHERE n.b < r.node OR true)
-  SELECT node, min(x) AS root FROM r GROUP BY node""".replace("WHERE o_totalprice > 100000", "WHERE o_orderkey <= 1200"))
-def graph_components(read):
-    e = read("orders").filter("o_orderkey <= 1200").select(F.col("o_custkey").alias("src"), (-F.floor(F.col("o_orderkey") / 40) - 1).alias("dst"))
-    return components.connected_components(e)
-
-
-_NEAR = """WITH x AS (SELECT event_id AS id, epoch_us(ts) AS t, event_type || '|' || user_id AS e FROM events WHERE event_type IN ('purchase', 'error'))
-  SELECT a.id AS a, b.id AS b, count(DISTINCT a.e) AS shared, round(min((b.t - a.t) / 3.6e9), 6) AS hours_apart FROM x a JOIN x b ON a.e = b.e AND (a.t < b.t OR (a.t = b.t AND a.id < b.id)) AND b.t - a.t <= 86400000000 GROUP BY 1, 2"""
-
-
-@_query(_NEAR)
-def similar_pairs_window(read):
-    ev = read("events").filter("event_type in ('purchase', 'error')").withColumn("e", F.concat_ws("|", "event_type", F.col("user_id").cast("string")))
-    return context.band_pairs(ev, "event_id", "ts", "e", 24, 1).withColumn("hours_apart", F.round("hours_apart", 6))
-
-
 @_query("""WITH x AS (SELECT event_id, user_id, ts FROM events) SELECT b.event_id, count(a.event_id) AS earlier FROM x b JOIN x a ON a.user_id = b.user_id AND a.ts < b.ts AND a.ts >= b.ts - INTERVAL 4 HOUR GROUP BY 1""")
 def lookback_asof(read):
     us = F.unix_micros(F.col("ts").cast("timestamp"))
@@ -312,14 +246,6 @@ def debug_sessions(read):
     return context.shared_groups(read("events").filter("event_type = 'error'"), "event_id", "ts", "user_id", 700).withColumn("hours", F.round("hours", 6))
 
 
-@_query("""WITH b AS (SELECT DISTINCT s_nationkey AS r, l_partkey AS m FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_partkey <= 60), n AS (SELECT r, count(*) AS n FROM b GROUP BY 1)
-  SELECT x.r AS a, y.r AS b, count(*) AS shared FROM b x JOIN b y USING (m) JOIN n p ON p.r = x.r JOIN n q ON q.r = y.r WHERE x.r < y.r GROUP BY 1, 2, p.n, q.n HAVING count(*) >= 0.5 * least(p.n, q.n)""")
-def project_overlap(read):
-    rows = read("lineitem").filter("l_partkey <= 60").join(read("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("s_nationkey", "l_partkey")
-    return context.overlapping_roots(rows, "s_nationkey", "l_partkey")
-
-
-# The queries of the same names without _all, and their SQL, stop at fixed ids; these run on the whole tables.
 _ALL_PAIRS = "WITH x AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), e AS (SELECT a.l_partkey AS a, b.l_partkey AS b, count(*) AS groups, count(*) + 1.0 AS weight FROM x a JOIN x b USING (l_orderkey) WHERE a.l_partkey < b.l_partkey GROUP BY 1, 2)"
 
 
@@ -423,9 +349,8 @@ def tag_f1(read):
 
 @_query("WITH v AS (SELECT event_type, list(value ORDER BY value) AS v FROM events GROUP BY 1) SELECT event_type, round(list_avg(v), 4) AS mean, v[least(floor(len(v) * 0.5) + 1, len(v))::INT] AS p50, v[least(floor(len(v) * 0.95) + 1, len(v))::INT] AS p95, v[least(floor(len(v) * 0.99) + 1, len(v))::INT] AS p99, v[len(v)] AS high FROM v")
 def latency_percentiles(read):
-    v = read("events").groupBy("event_type").agg(F.collect_list("value").alias("v"), F.round(F.avg("value"), 4).alias("mean"))
-    at = lambda p, n: trends.indexed_percentile(F.col("v"), p, n)
-    return v.select("event_type", "mean", at(0.5, 0).alias("p50"), at(0.95, 20).alias("p95"), at(0.99, 100).alias("p99"), F.array_max("v").alias("high"))
+    out = trends.indexed_percentiles(read("events"), ["event_type"], "value", {"p50": (0.5, 0), "p95": (0.95, 20), "p99": (0.99, 100)})
+    return out.select("event_type", F.round("mean", 4).alias("mean"), "p50", "p95", "p99", F.col("largest").alias("high"))
 
 
 @_query("SELECT o_orderpriority AS provider, o_orderstatus AS model, count(*) AS calls, round(sum(o_totalprice), 2) AS cost FROM orders GROUP BY ROLLUP (o_orderpriority, o_orderstatus)")

@@ -85,12 +85,13 @@ def simple_html(df: DataFrame, html: str = "value", source: str = "Google") -> D
     """Pages of labelled turns; without labels, paragraphs of over 10 characters alternate."""
     you = T.all_matches(F.col(html), r"(?s)You:\s*</[^>]+>(.*?)(?=<(?:b|strong|h\d)[^>]*>\s*(?:You|Gemini):|$)", 1)
     them = T.all_matches(F.col(html), r"(?s)Gemini:\s*</[^>]+>(.*?)(?=<(?:b|strong|h\d)[^>]*>\s*(?:You|Gemini):|$)", 1)
-    turn = lambda role, t: F.struct(F.lit(role).alias("role"), T.html_text(t).alias("text"))
+    never = F.lit(None).cast("timestamp").alias("created_at")
+    turn = lambda role, t: F.struct(F.lit(role).alias("role"), T.html_text(t).alias("text"), never)
     labelled = F.flatten(F.transform(F.arrays_zip(you.alias("y"), them.alias("g")), lambda z: F.array(turn("user", z["y"]), turn("assistant", z["g"]))))
     paragraphs = F.filter(F.transform(T.all_matches(F.col(html), r"(?s)<p[^>]*>(.*?)</p>", 1), T.html_text), lambda t: F.char_length(t) > 10)
-    plain = F.transform(paragraphs, lambda t, i: F.struct(F.when(i % 2 == 0, "user").otherwise("assistant").alias("role"), t.alias("text")))
+    plain = F.transform(paragraphs, lambda t, i: F.struct(F.when(i % 2 == 0, "user").otherwise("assistant").alias("role"), t.alias("text"), never))
     said = F.filter(F.when(F.size(you) > 0, labelled).otherwise(plain), lambda m: F.coalesce(m["text"], F.lit("")) != "")
-    return df.select(F.lit(source).alias("source"), F.sha2(html, 256).alias("external_id"), F.coalesce(F.nullif(T.html_text(F.regexp_extract(html, r"(?is)<title>(.*?)</title>", 1)), F.lit("")), F.lit("Untitled")).alias("title"), said.alias("messages"))
+    return df.select(F.lit(source).alias("source"), F.sha2(html, 256).alias("external_id"), F.coalesce(F.nullif(T.html_text(F.regexp_extract(html, r"(?is)<title>(.*?)</title>", 1)), F.lit("")), F.lit("Untitled")).alias("title"), F.lit(None).cast("timestamp").alias("created_at"), said.alias("messages"))
 
 
 #: Which reader takes a document: in order, the fields that one must have.
@@ -113,13 +114,25 @@ def sniff(spark: SparkSession, path: str) -> str:
     return next((n for n, ok in FORMATS.items() if ok(fields)), "unknown")
 
 
+def by_lines(spark: SparkSession, path: str) -> bool:
+    """True if a file holds one JSON object a line, rather than one document."""
+    head = spark.read.text(path, wholetext=True).select(F.substring("value", 1, 1 << 16)).first()[0].lstrip()
+    if not head.startswith("{"):
+        return False
+    line, more, _ = head.partition("\n")
+    try:
+        json.loads(line)
+    except ValueError:
+        return not more  # a first line that goes on beyond the head is one whole object
+    return True
+
+
 def read_export(spark: SparkSession, path: str, source: str) -> DataFrame:
     """Any export, by what it is found to be."""
     kind = sniff(spark, path)
-    if kind == "tree":
-        return tree(read_document(spark, path, TREE), source_label(source))
-    if kind == "linear":
-        return linear(read_document(spark, path, LINEAR), source_label(source))
+    if kind in ("tree", "linear"):
+        read = read_lines if by_lines(spark, path) else read_document
+        return tree(read(spark, path, TREE), source_label(source)) if kind == "tree" else linear(read(spark, path, LINEAR), source_label(source))
     if kind == "takeout":
         return takeout(spark.read.text(path, wholetext=True), source=source_label(source))
     if kind == "html":

@@ -6,7 +6,7 @@ import decimal
 import duckdb
 import pytest
 
-from lumenarc.plans import catalog
+from lumenarc.plans import archive, catalog  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -42,6 +42,6 @@ def test_matches_sql(spark, duck, name):
 
 
 def test_no_nested_loops(spark):
-    for name in ("similar_pairs_window", "cooccurrence_edges", "lookback_asof"):
+    for name in ("similar_pairs_window_all", "cooccurrence_edges_all", "lookback_asof"):
         plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
