@@ -8,6 +8,11 @@ from . import text as T
 
 
 
+def stripped(text: Column) -> Column:
+    """text without any white space at its ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def json_in(text: Column) -> Column:
     """The first part of a text that is JSON: the whole of it, a fenced block, or from the first brace to the last."""
     whole, fenced = text, F.regexp_extract(text, r"```(?:json)?\s*([\s\S]*?)\s*```", 1)
@@ -46,14 +51,14 @@ def score_answer(text: Column, scale: int = 10) -> list[Column]:
 def summary_answer(text: Column, target: int = 200) -> list[Column]:
     """abstractive and extractive; an answer without both labels is abstractive as a whole."""
     both = F.contains(text, F.lit("ABSTRACTIVE:")) & F.contains(text, F.lit("EXTRACTIVE:"))
-    halves = F.split(text, "(?<!ABSTRACT)(?<!A)EXTRACTIVE:")
-    first = F.trim(F.replace(halves[0], F.lit("ABSTRACTIVE:"), F.lit("")))
-    return [F.substring(F.when(both, first).otherwise(F.trim(text)), 1, target + 50).alias("abstractive"), F.substring(F.when(both, F.trim(F.get(halves, F.lit(1)))).otherwise(F.substring(text, 1, 500)), 1, 1000).alias("extractive")]
+    halves = F.split(text, "EXTRACTIVE:")
+    first = stripped(F.replace(halves[0], F.lit("ABSTRACTIVE:"), F.lit("")))
+    return [F.substring(F.when(both, first).otherwise(stripped(text)), 1, target + 50).alias("abstractive"), F.substring(F.when(both, stripped(F.get(halves, F.lit(1)))).otherwise(F.substring(text, 1, 500)), 1, 1000).alias("extractive")]
 
 
 def insights_answer(text: Column, most: int = 5) -> list[Column]:
     """key_insights (the bullets under INSIGHTS), status, value_proposition and next_steps."""
-    part = lambda name: F.trim(F.regexp_replace(F.regexp_extract(text, rf"(?s)(?:^|\n)[ \t]*{name}:(.*?)(?=\n[ \t]*(?:INSIGHTS|STATUS|FUTURE VALUE|NEXT STEPS):|\n[ \t]*[-•]|$)", 1), r"\s*\n\s*", " "))
+    part = lambda name: stripped(F.regexp_replace(F.regexp_extract(text, rf"(?s)(?:^|\n)[ \t]*{name}:(.*?)(?=\n[ \t]*(?:INSIGHTS|STATUS|FUTURE VALUE|NEXT STEPS):|\n[ \t]*[-•]|$)", 1), r"\s*\n\s*", " "))
     block = F.regexp_extract(text, r"(?s)(?:^|\n)[ \t]*INSIGHTS:(.*?)(?=\n[ \t]*(?:STATUS|FUTURE VALUE|NEXT STEPS):|$)", 1)
     bullets = F.filter(T.all_matches(block, r"(?m)^[ \t]*[-•]+[-•]*[ \t]*(.*?)[ \t]*$", 1), lambda x: x != "")
     return [F.slice(bullets, 1, most).alias("key_insights"), F.coalesce(field(text, "STATUS"), F.lit("Completed")).alias("status"), part("FUTURE VALUE").alias("value_proposition"), part("NEXT STEPS").alias("next_steps")]
@@ -99,8 +104,7 @@ def artifacts(text: Column, least: int = 20) -> Column:
     """The fenced blocks of a text of so many characters, each content once, as an array of (type, language, content)."""
     kinds = F.create_map(*[F.lit(x) for kv in ARTIFACT_TYPES.items() for x in kv])
     langs, blocks = T.all_matches(text, r"```(\w*)\n([\s\S]*?)```", 1), T.all_matches(text, r"```(\w*)\n([\s\S]*?)```", 2)
-    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
-    made = F.zip_with(langs, blocks, lambda a, b: F.struct(F.coalesce(kinds[a], F.lit("code_snippet")).alias("type"), F.when(a == "", "unknown").otherwise(a).alias("language"), strip(b).alias("content")))
+    made = F.zip_with(langs, blocks, lambda a, b: F.struct(F.coalesce(kinds[a], F.lit("code_snippet")).alias("type"), F.when(a == "", "unknown").otherwise(a).alias("language"), stripped(b).alias("content")))
     long = F.filter(made, lambda x: F.char_length(x["content"]) >= least)
     contents = F.transform(long, lambda x: x["content"])
     return F.filter(long, lambda x, i: F.array_position(contents, x["content"]) == i + 1)
