@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
 from ..operators.components import connected_components
-from ..workspace import by_size, materialize, unused
+from ..workspace import by_size, materialize, small_enough, unused
 
 SEED = 42
 #: The smallest hashes of a text's shingles that its sketch holds.
 SKETCH = 16
+#: Rows up to which a side of a join is broadcast.
+BROADCAST_ROWS = 500_000
 #: A fingerprint that more than one in so many rows have is joined apart from the others.
 HOT_SHARE = 10_000
 
@@ -306,7 +308,10 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, shingl
         for x in by_size(batches, "t"):
             yield pd.DataFrame({"h": x["h"], "s": [_shingles(t, words) for t in x["t"]]})
 
-    texts = named.join(ids, "h", "left_semi").groupBy("h").agg(F.first("t").alias("t"))
+    # copies become one a task before anything is dealt out by text, so that a text that many rows have is no single task
+    once = lambda rows: rows.groupBy("h").agg(F.first("t").alias("t"))
+    few = small_enough(ids, BROADCAST_ROWS)
+    texts = once(named.join(F.broadcast(ids), "h", "left_semi")) if few else once(named).join(ids, "h", "left_semi")
     sets = materialize(texts.mapInPandas(whole, "h long, s array<long>"), "sets")
     pair = met.join(sets.select(F.col("h").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("h").alias("v"), F.col("s").alias("sv")), "v")
     common = F.size(F.array_intersect("su", "sv"))
