@@ -78,7 +78,7 @@ def _before(rows: DataFrame, value: str, bucket: str, order: list[str]) -> DataF
     return joined.withColumn("before", F.col("_base") + F.col("_own")).drop("_s", "_b", "_base", "_own")
 
 
-def pack(docs: DataFrame, block: int = 64, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", bucket_docs: int = 2_000) -> DataFrame:
+def pack(docs: DataFrame, block: int = 64, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", bucket_docs: int = 1_000) -> DataFrame:
     """(doc_id, source, size, start): where each document's words stand in its source's stream.
 
     The order is that of buckets by a hash of id and text, then of the hash, then of the id.
