@@ -396,6 +396,39 @@ def test_simhash(spark, docs, odd, empty):
     assert sorted(x.doc_id for x in simhash.keep_one(odd).filter("doc_id < 6").collect()) == [1, 4]
 
 
+def test_near_copies_by_brute_force(spark):
+    """No wrong link, every exact copy, and nearly all edited ones; each way to fetch the texts gives the same rows."""
+    import random
+
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(rng.choice(words) for _ in range(120))) for k in range(60)]
+    for k in range(60, 160):  # copies with up to two other words, copies of those, and exact ones
+        t = rows[rng.randrange(len(rows))][1].split()
+        for _ in range(rng.randrange(3)):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        rows.append((k, " ".join(t)))
+    rows += [(200, None), (201, ""), (202, " \t"), (203, "one two"), (204, "One  two"), (204, "One  two"), (None, rows[0][1]), (2**60 + 1, rows[1][1] + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("h", "fp", "t", "rep", "n")})
+    sets = [set(simhash._shingles(t, 5).tolist()) for _, t in rows]
+    label = list(range(len(rows)))
+    for _ in range(20):
+        for a, b in itertools.combinations(range(len(rows)), 2):
+            common = len(sets[a] & sets[b])
+            if common >= 0.8 * (len(sets[a]) + len(sets[b]) - common):
+                label[a] = label[b] = min(label[a], label[b])
+    group = defaultdict(list)
+    for k, (i, _) in enumerate(rows):
+        group[label[k]].append(i)
+    least = {i: min(x for x in group[label[k]] if x is not None) for k, (i, _) in enumerate(rows)}
+    got = sorted(((r.doc_id, r.component_id) for r in simhash.near_copies(docs).collect()), key=repr)
+    assert len(got) == len(rows) and {i for i, _ in got} == {i for i, _ in rows}
+    assert all(least[c] == least[i] for i, c in got)
+    assert {c for i, c in got if i in (200, 201, 202)} == {200} and {c for i, c in got if i in (203, 204)} == {203}
+    merged = [i for i, c in least.items() if i != c]
+    assert len(merged) > 60 and sum(c != i for i, c in dict(got).items() if i in merged) >= 0.9 * len(merged)
+
+
 def test_forest_finds_all_links(spark):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 1500, dtype=np.uint64)
