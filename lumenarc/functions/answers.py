@@ -111,16 +111,17 @@ def artifacts(text: Column, least: int = 20) -> Column:
 
 
 def size_label(n: Column) -> Column:
-    out = F.format_string("%.1f TB", n / 1024.0**4)
+    tenths = lambda x: F.bround(x.cast("double"), 1)  # a tie goes to the even digit
+    out = F.format_string("%.1f TB", tenths(n / 1024.0**4))
     for k, unit in reversed(list(enumerate(("B", "KB", "MB", "GB")))):
-        out = F.when(F.abs(n) < 1024.0 ** (k + 1), F.format_string(f"%.1f {unit}", n / 1024.0**k)).otherwise(out)
+        out = F.when(F.abs(n) < 1024.0 ** (k + 1), F.format_string(f"%.1f {unit}", tenths(n / 1024.0**k))).otherwise(out)
     return out
 
 
 def duration_label(seconds: Column) -> Column:
     whole = lambda c: F.floor(c).cast("long")
     minutes = F.format_string("%dm %ds", whole(seconds / 60), whole(seconds % 60))
-    return F.when(seconds < 60, F.format_string("%.1fs", seconds.cast("double"))).when(seconds < 3600, minutes).otherwise(F.format_string("%dh %dm", whole(seconds / 3600), whole(seconds % 3600 / 60)))
+    return F.when(seconds < 60, F.format_string("%.1fs", F.bround(seconds.cast("double"), 1))).when(seconds < 3600, minutes).otherwise(F.format_string("%dh %dm", whole(seconds / 3600), whole(seconds % 3600 / 60)))
 
 
 def ago_label(ts: Column, now: Column) -> Column:
