@@ -174,13 +174,13 @@ def search(vectors: DataFrame, is_query: str, top: int = 20, id_col: str = "vec_
     low, high = np.quantile(at, 0.001, axis=1), np.quantile(at, 0.999, axis=1)
     # the range takes seven eighths of the grid; the shift moves it over the rest
     curves = Curves(turns, rng.random((CURVES, DIMS)) * 2**BITS / 8, low, 2**BITS * 7 / 8 / np.maximum(high - low, 1e-12), longest)
-    shared = spark.sparkContext.broadcast(curves)
+    shared = spark.sparkContext.broadcast(tuple(curves))  # plain: a class would have to be installed on the executors
 
     def keyed(query: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for x in batches:
                 if len(x):
-                    keys = _keys(_matrix(x["v"]), shared.value, query)
+                    keys = _keys(_matrix(x["v"]), Curves(*shared.value), query)
                     for k in range(CURVES):
                         yield x.assign(curve=np.int32(k), key=keys[k])
 
@@ -248,7 +248,7 @@ def search(vectors: DataFrame, is_query: str, top: int = 20, id_col: str = "vec_
         for x in batches:
             if not len(x):
                 continue
-            keys = _keys(_matrix(x["v"]), shared.value, True)
+            keys = _keys(_matrix(x["v"]), Curves(*shared.value), True)
             for k in range(CURVES):
                 at = np.searchsorted(edge.value[k], keys[k], side="right")
                 lo, hi = np.maximum(at - width[k], 0), np.minimum(at + width[k], len(block[k]) - 1)

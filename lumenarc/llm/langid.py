@@ -175,10 +175,10 @@ def held_out(doc_id: Column) -> Column:
 
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns in keep, lang_pred and score (the calibrated probability), from the text alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))  # plain: a class would have to be installed on the executors
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
+        m = Model(*shared.value)
         for x in by_size(batches, "_text"):
             pred, score = [UNKNOWN] * len(x), np.zeros(len(x))
             for k, (text, known) in enumerate(zip(x["_text"], x["_letters"], strict=True)):
