@@ -22,12 +22,16 @@ from ..operators.components import connected_components
 from ..workspace import by_size, materialize, small_enough, unused
 
 SEED = 42
-#: The smallest hashes of a text's shingles that its sketch holds.
-SKETCH = 16
 #: Rows up to which a side of a join is broadcast.
 BROADCAST_ROWS = 500_000
 #: A fingerprint that more than one in so many rows have is joined apart from the others.
 HOT_SHARE = 10_000
+#: Rows of keys up to which they are broadcast.
+KEY_ROWS = 2_000_000
+#: Times seen beyond which a shingle goes behind the others, and so many of those at most.
+COMMON, COMMON_ROWS = 32, 500_000
+#: Rows of shingle lists, and pairs of texts, that a group of a task holds, about.
+BUCKET_ROWS, PART_PAIRS = 250_000, 20_000
 
 
 def simhash(text: str | None, shingle: int = 4) -> int:
@@ -261,48 +265,77 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _shingles(text: str | None, words: int) -> np.ndarray:
     """The distinct hashes of a text's word shingles; of one with fewer words, that of them all."""
     own = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    grams = {b" ".join(own[k : k + words]) for k in range(max(1, len(own) - words + 1))} if own else ()
-    return np.unique(np.array([xxh64_intdigest(g, SEED) for g in grams], np.uint64)).view(np.int64)
+    at = np.fromiter(map(xxh64_intdigest, own), np.uint64, len(own))
+    n = min(words, len(own))
+    mixed = np.full(max(0, len(own) - n + 1) if n else 0, n, np.uint64)
+    for k in range(n):
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + at[k : k + len(mixed)]
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return np.unique(mixed ^ (mixed >> np.uint64(32))).view(np.int64)
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, shingle: int = 2, max_bits: int = 7, bands: int = 4) -> DataFrame:
-    """(doc_id, component_id): one row for each row of docs, grouped by the similarity of their word shingles.
-
-    Two texts are linked if their sets of shingles of `words` words have that Jaccard similarity. Candidates are pairs of
-    fingerprints within max_bits, from the same forest of trees; here a fingerprint is of word pairs, which an edited word
-    changes less than longer shingles. Each distinct text stands once. A fingerprint is compared with its nearest and along a
-    tree over those it is linked to, not with all; a sketch of the smallest hashes sorts out most pairs, and the whole sets
-    decide. So a link is never wrong, but one beyond max_bits, or between two that neither choice pairs, is not found.
+def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that many texts share, in ascending order, and the logarithm of in how many each was seen.
 
-    component_id is the smallest doc_id that a row reaches, its own included. Texts without words, null ones too, are alike.
-    Repeated rows come back as often; a row with a null doc_id links others. Other columns are not read.
+    Seen are shingles that two texts of one batch share. This sets an order only: no result depends on what is missed.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in by_size(batches, "t"):
-            sets = [_shingles(t, words) for t in x["t"]]
-            fp = np.array([simhash(t, shingle) for t in x["t"]], np.uint64).view(np.int64)
-            yield x[["doc_id", "h"]].assign(fp=fp, size=[len(v) for v in sets], sketch=[np.sort(v)[:SKETCH] for v in sets])
+            found, n = np.unique(np.concatenate([np.zeros(0, np.int64), *[_shingles(t, words) for t in set(x["t"])]]), return_counts=True)
+            yield pd.DataFrame({"s": found[n > 1], "n": n[n > 1]})
 
-    # ids travel as strings: a long among nulls would be rounded on its way
-    named = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").alias("t"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    prints = materialize(named.mapInPandas(run, "doc_id string, h long, fp long, size int, sketch array<long>").withColumn("doc_id", F.col("doc_id").cast(kind)), "prints")
-    nodes = materialize(prints.groupBy("h").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "texts")
-    heads = materialize(nodes.groupBy("fp").agg(F.min("h").alias("m"), F.count("*").alias("k")), "heads")
-    same = nodes.join(heads.filter("k > 1"), "fp").filter("h <> m").select(F.col("h").alias("u"), F.col("m").alias("v"))
-    linked = link_fingerprints(heads.select("fp"), max_bits, bands, pairs=True)
-    linked = linked.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    of = lambda end, name: heads.select(F.col("fp").alias(end), F.col("m").alias(name))
-    met = linked.join(of("src", "u"), "src").join(of("dst", "v"), "dst").select("u", "v").unionByName(same)
-    side = lambda end: nodes.select(F.col("h").alias(end), F.col("size").alias(f"size_{end}"), F.col("sketch").alias(f"sketch_{end}"))
-    met = met.join(side("u"), "u").join(side("v"), "v")
-    lowest = F.slice(F.array_sort(F.array_union("sketch_u", "sketch_v")), 1, SKETCH)
-    shared = F.size(F.array_intersect(F.array_intersect(lowest, "sketch_u"), F.col("sketch_v")))
-    alike = (shared >= F.size(lowest) * (similarity - 0.4)) & (F.least("size_u", "size_v") >= similarity * F.greatest("size_u", "size_v"))
-    met = materialize(met.filter(alike).select("u", "v"), "candidates")
-    # the whole sets, of the texts that are left
-    ids = met.select(F.explode(F.array("u", "v")).alias("h")).distinct()
+    seen = texts.select("t").mapInPandas(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") > COMMON)
+    seen = seen.orderBy(F.desc("n"), "s").limit(COMMON_ROWS).toPandas().sort_values("s")  # COMMON_ROWS at most
+    return seen["s"].to_numpy(np.int64), np.log2(seen["n"].to_numpy(float)).astype(np.int8)
+
+
+def _bounds(*keys: np.ndarray) -> np.ndarray:
+    """For each row of sorted keys the end of the run of equal ones that it stands in."""
+    n = len(keys[0])
+    change = np.zeros(max(0, n - 1), bool)
+    for k in keys:
+        change |= k[1:] != k[:-1]
+    cuts = np.concatenate([[0], np.flatnonzero(change) + 1, [n]]) if n else np.zeros(1, np.int64)
+    return np.repeat(cuts[1:], np.diff(cuts))
+
+
+def _meetings(x: pd.DataFrame, similarity: float, every: bool) -> pd.DataFrame:
+    """Pairs (u, v) of texts that share a key and may be that similar by their sizes and the key's places.
+
+    With `every` all pairs of different labels; else each text and the next one, in an order that differs from key to key.
+    """
+    key, h, size, pos, label = (x[c].to_numpy() for c in ("key", "h", "size", "pos", "label"))
+    mixed = (h.view(np.uint64) ^ key.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    order = np.lexsort((h, label, key) if every else (h, mixed, key))
+    key, h, size, pos, label = key[order], h[order], size[order].astype(np.int64), pos[order].astype(np.int64), label[order]
+    end, first = _bounds(key), _bounds(key, label) if every else np.arange(1, len(key) + 1)
+    reach = end - first if every else np.minimum(end - first, 1)
+    total = np.cumsum(reach)
+    parts, at = [pd.DataFrame({"u": h[:0], "v": h[:0]})], 0
+    while at < len(key):
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 2_000_000, "right")))
+        n = reach[at:stop]
+        i = np.repeat(np.arange(at, stop), n)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[at:stop], n)
+        low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+        most = 1 + np.minimum(pos[i], pos[j]) + np.minimum(size[i] - pos[i] - 1, size[j] - pos[j] - 1)
+        ok = (low >= similarity * high - 1e-9) & (most >= similarity / (1 + similarity) * (low + high) - 1e-9)
+        i, j = i[ok], j[ok]
+        parts.append(pd.DataFrame({"u": np.minimum(h[i], h[j]), "v": np.maximum(h[i], h[j])}).drop_duplicates())
+        at = stop
+    return pd.concat(parts).drop_duplicates()
+
+
+def _alike(pairs: DataFrame, named: DataFrame, similarity: float, words: int) -> DataFrame:
+    """The pairs (u, v) of texts, by their hashes h in named, whose whole sets of shingles are that similar.
+
+    Pairs are dealt out by u; a set goes to each part that needs it once, however many pairs it stands in there.
+    """
+    parts = max(64, pairs.count() // PART_PAIRS)
+    dealt = pairs.withColumn("g", F.pmod(F.xxhash64("u"), F.lit(parts)).cast("int"))
+    need = materialize(dealt.select("g", F.explode(F.array("u", "v")).alias("h")).distinct(), "needed")
+    ids = materialize(need.select("h").distinct(), "ids")
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in by_size(batches, "t"):
@@ -310,13 +343,82 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, shingl
 
     # copies become one a task before anything is dealt out by text, so that a text that many rows have is no single task
     once = lambda rows: rows.groupBy("h").agg(F.first("t").alias("t"))
-    few = small_enough(ids, BROADCAST_ROWS)
+    few = small_enough(ids, KEY_ROWS)
     texts = once(named.join(F.broadcast(ids), "h", "left_semi")) if few else once(named).join(ids, "h", "left_semi")
     sets = materialize(texts.mapInPandas(whole, "h long, s array<long>"), "sets")
-    pair = met.join(sets.select(F.col("h").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("h").alias("v"), F.col("s").alias("sv")), "v")
-    common = F.size(F.array_intersect("su", "sv"))
-    sure = pair.filter(common >= similarity * (F.size("su") + F.size("sv") - common)).select("u", "v")
-    roots = connected_components(sure, "u", "v")
+
+    def decide(p: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        held = dict(zip(x["h"], x["s"], strict=True))
+        sure = np.zeros(len(p), bool)
+        for k, (u, v) in enumerate(zip(p["u"], p["v"], strict=True)):
+            a, b = held[u], held[v]
+            common = len(np.intersect1d(a, b, assume_unique=True))
+            sure[k] = common >= similarity * (len(a) + len(b) - common)
+        return p.loc[sure, ["u", "v"]]
+
+    return dealt.groupBy("g").cogroup(need.join(sets, "h").groupBy("g")).applyInPandas(decide, "u long, v long")
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
+    """(doc_id, component_id): one row for each row of docs, grouped by the similarity of their word shingles.
+
+    Two texts are linked if their sets of shingles of `words` words have that Jaccard similarity. Every such link counts: two
+    sets of it share one of their first shingles, in any one order of all shingles, and those are n - ceil(similarity * n) + 1
+    of n. Shingles that many texts share stand last in that order. Each distinct text stands once. Pairs that are next to
+    each other in a shingle's list are decided first; then all others whose texts are not yet in one component. Whole sets
+    decide, so no link is wrong.
+
+    component_id is the smallest doc_id that a row reaches, its own included. Texts without words, null ones too, are alike.
+    Repeated rows come back as often; a row with a null doc_id links others. Other columns are not read.
+    """
+    # ids travel as strings: a long among nulls would be rounded on its way
+    named = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").alias("t"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(_common(named, words))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common, level = shared.value
+
+        def first(own: np.ndarray) -> np.ndarray:
+            if not len(own):
+                return np.zeros(1, np.int64)  # texts without words share this key
+            n = len(own) - math.ceil(similarity * len(own) - 1e-9) + 1
+            at = np.searchsorted(common, own)
+            known = np.append(common, 0)[at] == own if len(common) else np.zeros(len(own), bool)
+            known &= at < len(common)
+            rank = np.where(known, np.append(level, 0)[at], 0)
+            return own[np.lexsort((own, rank))[:n]]
+
+        for x in by_size(batches, "t"):
+            sets = [_shingles(t, words) for t in x["t"]]
+            yield x[["doc_id", "h"]].assign(size=[len(v) for v in sets], keys=[first(v) for v in sets])
+
+    prints = named.mapInPandas(run, "doc_id string, h long, size int, keys array<long>").withColumn("doc_id", F.col("doc_id").cast(kind))
+    prints = materialize(prints, "prints")
+    nodes = materialize(prints.groupBy("h").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("keys").alias("keys")), "texts")
+    rows = nodes.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+    buckets = max(256, rows // BUCKET_ROWS)
+    lists = nodes.select("h", "size", F.posexplode("keys").alias("pos", "key")).withColumn("b", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
+
+    def several(x: pd.DataFrame) -> pd.DataFrame:
+        return x[x["key"].duplicated(keep=False)]
+
+    lists = materialize(lists.groupBy("b").applyInPandas(several, lists.schema), "lists")
+
+    def meet(rows: DataFrame, every: bool) -> DataFrame:
+        met = rows.groupBy("b").applyInPandas(lambda x: _meetings(x, similarity, every), "u long, v long")
+        return materialize(met.distinct(), "candidates")
+
+    tried = meet(lists.withColumn("label", F.col("h")), False)
+    sure = materialize(_alike(tried, named, similarity, words), "links")
+    roots = materialize(connected_components(sure, "u", "v"), "roots")
+    to = roots.select(F.col("node").alias("h"), "root")
+    to = F.broadcast(to) if small_enough(to, BROADCAST_ROWS) else to
+    rest = meet(lists.join(to, "h", "left").withColumn("label", F.coalesce("root", "h")).drop("root"), True)
+    rest = materialize(rest.join(tried, ["u", "v"], "left_anti"), "others")
+    if not rest.isEmpty():
+        more = materialize(_alike(rest, named, similarity, words), "links")
+        roots = materialize(connected_components(sure.unionByName(more), "u", "v"), "roots")
     joined = materialize(roots.join(nodes.select("h", "rep"), roots.node == nodes.h).select("h", "root", "rep"), "joined")
     least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
     moved = joined.join(least, "root").select("h", "component_id")
@@ -329,14 +431,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows without a doc_id can't be told apart and stay.
     """
-    found = materialize(near_copies(docs.select("doc_id", "text")), "components")
-    losers = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    twice = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    kept = docs.join(losers, "doc_id", "left_anti")
-    once = kept.join(twice, "doc_id", "left_anti")
-    spare = kept.join(twice, "doc_id", "left_semi")
+    found = near_copies(docs.select("doc_id", "text"))
+    n, h, i, lost = (unused(docs, c) for c in ("n", "h", "i", "lost"))
+    # only rows that go, or stand more than once, are joined, so texts are not moved for the others
+    marks = found.groupBy(F.col("doc_id").alias(i)).agg(F.max(F.col("doc_id") != F.col("component_id")).alias(lost), F.count_if(F.col("doc_id") == F.col("component_id")).alias(n))
+    marks = materialize(marks.filter(F.col(lost) | (F.col(n) > 1)).select(i, lost), "marks")
+    marks = F.broadcast(marks) if small_enough(marks, KEY_ROWS) else marks
+    kept = docs.join(marks, F.col("doc_id") == F.col(i), "left")
+    once = kept.filter(F.col(lost).isNull())
     # partial minima before the shuffle: an id that many rows share is no single task
-    n, h = unused(docs, "n"), unused(docs, "h")
-    spare = spare.withColumn(h, F.xxhash64(*docs.columns))
+    spare = kept.filter(~F.col(lost)).select(docs.columns).withColumn(h, F.xxhash64(*docs.columns))
     first = spare.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), h).alias(n)).select(f"{n}.*")
     return once.select(docs.columns).unionByName(first.select(docs.columns))
