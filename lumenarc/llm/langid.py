@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
-from ..workspace import by_size, materialize, plain, unused
+from ..workspace import by_size, materialize, plain, small_enough, unused
 
 BUCKETS = 1 << 15
 #: Rows that the classifier is fitted on, at most; shared out evenly among the languages.
@@ -25,6 +25,8 @@ SAMPLE_ENTRIES = 40_000_000
 #: Odd multipliers that spread n-grams over the buckets.
 MIX = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 UNKNOWN = "und"
+#: Texts up to which those rejected, and those given a language, are broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 class Model(NamedTuple):
@@ -216,8 +218,10 @@ def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
     said = materialize(predict(said, model, ["h", "missing"]), "predictions")
     good = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)
     h, f, lang = unused(docs, "h"), unused(docs, "f"), unused(docs, "filled")
-    bad = said.filter(~good).select(F.col("h").alias(h)).distinct()
-    fill = said.filter(good & F.col("missing")).groupBy(F.col("h").alias(f)).agg(F.first("lang_pred").alias(lang))
+    bad = materialize(said.filter(~good).select(F.col("h").alias(h)).distinct(), "rejected")
+    fill = materialize(said.filter(good & F.col("missing")).groupBy(F.col("h").alias(f)).agg(F.first("lang_pred").alias(lang)), "filled")
+    # few of them go to every task, so that texts stay where they are
+    bad, fill = (F.broadcast(x) if small_enough(x, BROADCAST_ROWS) else x for x in (bad, fill))
     kept = docs.withColumn(h, F.xxhash64("text")).join(bad, h, "left_anti")
     kept = kept.join(fill, F.col("lang").isNull() & (F.col(h) == F.col(f)), "left")
     return kept.withColumn("lang", F.coalesce("lang", lang)).select(docs.columns)
