@@ -327,7 +327,7 @@ def _meetings(x: pd.DataFrame, similarity: float, every: bool) -> pd.DataFrame:
     return pd.concat(parts).drop_duplicates()
 
 
-def _alike(pairs: DataFrame, named: DataFrame, similarity: float, words: int) -> DataFrame:
+def _alike(pairs: DataFrame, named: DataFrame, nodes: DataFrame, similarity: float, words: int) -> DataFrame:
     """The pairs (u, v) of texts, by their hashes h in named, whose whole sets of shingles are that similar.
 
     Pairs are dealt out by u; a set goes to each part that needs it once, however many pairs it stands in there.
@@ -335,17 +335,23 @@ def _alike(pairs: DataFrame, named: DataFrame, similarity: float, words: int) ->
     parts = max(64, pairs.count() // PART_PAIRS)
     dealt = pairs.withColumn("g", F.pmod(F.xxhash64("u"), F.lit(parts)).cast("int"))
     need = materialize(dealt.select("g", F.explode(F.array("u", "v")).alias("h")).distinct(), "needed")
-    ids = materialize(need.select("h").distinct(), "ids")
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in by_size(batches, "t"):
+            x = x.drop_duplicates("h")
             yield pd.DataFrame({"h": x["h"], "s": [_shingles(t, words) for t in x["t"]]})
 
-    # copies become one a task before anything is dealt out by text, so that a text that many rows have is no single task
-    once = lambda rows: rows.groupBy("h").agg(F.first("t").alias("t"))
-    few = small_enough(ids, KEY_ROWS)
-    texts = once(named.join(F.broadcast(ids), "h", "left_semi")) if few else once(named).join(ids, "h", "left_semi")
-    sets = materialize(texts.mapInPandas(whole, "h long, s array<long>"), "sets")
+    ids = materialize(need.select("h").distinct().join(nodes.select("h", "rep"), "h"), "ids")
+    if small_enough(need, KEY_ROWS):
+        # one row of each text is taken, where it stands; only the sets are dealt out
+        ids = F.broadcast(ids.select(F.col("h").alias("i"), "rep"))
+        texts = named.join(ids, (F.col("h") == F.col("i")) & F.col("doc_id").eqNullSafe(F.col("rep").cast("string")), "left_semi")
+        sets = texts.select("h", "t").mapInPandas(whole, "h long, s array<long>")
+        need = F.broadcast(need)
+    else:
+        # copies become one a task before anything is dealt out by text, so that a text that many rows have is no single task
+        texts = named.groupBy("h").agg(F.first("t").alias("t")).join(ids, "h", "left_semi")
+        sets = materialize(texts.mapInPandas(whole, "h long, s array<long>"), "sets")
 
     def decide(p: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         held = dict(zip(x["h"], x["s"], strict=True))
@@ -356,7 +362,7 @@ def _alike(pairs: DataFrame, named: DataFrame, similarity: float, words: int) ->
             sure[k] = common >= similarity * (len(a) + len(b) - common)
         return p.loc[sure, ["u", "v"]]
 
-    return dealt.groupBy("g").cogroup(need.join(sets, "h").groupBy("g")).applyInPandas(decide, "u long, v long")
+    return dealt.groupBy("g").cogroup(sets.join(need, "h").groupBy("g")).applyInPandas(decide, "u long, v long")
 
 
 def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
@@ -410,14 +416,14 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> Dat
         return materialize(met.distinct(), "candidates")
 
     tried = meet(lists.withColumn("label", F.col("h")), False)
-    sure = materialize(_alike(tried, named, similarity, words), "links")
+    sure = materialize(_alike(tried, named, nodes, similarity, words), "links")
     roots = materialize(connected_components(sure, "u", "v"), "roots")
     to = roots.select(F.col("node").alias("h"), "root")
     to = F.broadcast(to) if small_enough(to, BROADCAST_ROWS) else to
     rest = meet(lists.join(to, "h", "left").withColumn("label", F.coalesce("root", "h")).drop("root"), True)
     rest = materialize(rest.join(tried, ["u", "v"], "left_anti"), "others")
     if not rest.isEmpty():
-        more = materialize(_alike(rest, named, similarity, words), "links")
+        more = materialize(_alike(rest, named, nodes, similarity, words), "links")
         roots = materialize(connected_components(sure.unionByName(more), "u", "v"), "roots")
     joined = materialize(roots.join(nodes.select("h", "rep"), roots.node == nodes.h).select("h", "root", "rep"), "joined")
     least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
