@@ -327,14 +327,51 @@ def _meetings(x: pd.DataFrame, similarity: float, every: bool) -> pd.DataFrame:
     return pd.concat(parts).drop_duplicates()
 
 
-def _alike(pairs: DataFrame, named: DataFrame, nodes: DataFrame, similarity: float, words: int) -> DataFrame:
-    """The pairs (u, v) of texts, by their hashes h in named, whose whole sets of shingles are that similar.
+def _sketch(own: np.ndarray) -> bytes:
+    """A bit for each of so many parts of all hashes: whether an odd number of the set's are in it.
 
-    Pairs are dealt out by u; a set goes to each part that needs it once, however many pairs it stands in there.
+    Of n hashes it has the next power of two bits, 64 at least; folded, it is the sketch of half as many parts.
     """
+    bits = 1 << max(6, (len(own) - 1).bit_length())
+    return np.packbits((np.bincount(own & (bits - 1), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def _differing(a: bytes, b: bytes) -> int:
+    """In how many bits two sketches differ, the larger one folded; the sets differ in so many shingles at least."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _needed(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs (u, v), dealt out by u, with their part g; (g, h): the texts that a part needs, each once."""
     parts = max(64, pairs.count() // PART_PAIRS)
     dealt = pairs.withColumn("g", F.pmod(F.xxhash64("u"), F.lit(parts)).cast("int"))
-    need = materialize(dealt.select("g", F.explode(F.array("u", "v")).alias("h")).distinct(), "needed")
+    return dealt, materialize(dealt.select("g", F.explode(F.array("u", "v")).alias("h")).distinct(), "needed")
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) of texts that their sketches allow to be that similar. No pair that is so is lost."""
+    dealt, need = _needed(pairs)
+    sketches = nodes.select("h", "size", "bits").join(F.broadcast(need) if small_enough(need, KEY_ROWS) else need, "h")
+
+    def decide(p: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        size, bits = (dict(zip(x["h"], x[c], strict=True)) for c in ("size", "bits"))
+        most = (1 - similarity) / (1 + similarity)
+        ok = [_differing(bits[u], bits[v]) <= most * (size[u] + size[v]) + 1e-6 for u, v in zip(p["u"], p["v"], strict=True)]
+        return p.loc[np.array(ok, bool), ["u", "v"]]
+
+    return materialize(dealt.groupBy("g").cogroup(sketches.groupBy("g")).applyInPandas(decide, "u long, v long"), "possible")
+
+
+def _alike(pairs: DataFrame, named: DataFrame, nodes: DataFrame, similarity: float, words: int) -> DataFrame:
+    """The pairs (u, v) of texts, by their hashes h in named, whose whole sets of shingles are that similar.
+
+    A set goes to each part of the pairs that needs it once, however many pairs it stands in there.
+    """
+    dealt, need = _needed(pairs)
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in by_size(batches, "t"):
@@ -371,8 +408,8 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> Dat
     Two texts are linked if their sets of shingles of `words` words have that Jaccard similarity. Every such link counts: two
     sets of it share one of their first shingles, in any one order of all shingles, and those are n - ceil(similarity * n) + 1
     of n. Shingles that many texts share stand last in that order. Each distinct text stands once. Pairs that are next to
-    each other in a shingle's list are decided first; then all others whose texts are not yet in one component. Whole sets
-    decide, so no link is wrong.
+    each other in a shingle's list are decided first; then all others whose texts are not yet in one component. Pairs that
+    the texts' sketches rule out are left; whole sets decide of the others, so no link is wrong and none is lost.
 
     component_id is the smallest doc_id that a row reaches, its own included. Texts without words, null ones too, are alike.
     Repeated rows come back as often; a row with a null doc_id links others. Other columns are not read.
@@ -397,11 +434,11 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> Dat
 
         for x in by_size(batches, "t"):
             sets = [_shingles(t, words) for t in x["t"]]
-            yield x[["doc_id", "h"]].assign(size=[len(v) for v in sets], keys=[first(v) for v in sets])
+            yield x[["doc_id", "h"]].assign(size=[len(v) for v in sets], keys=[first(v) for v in sets], bits=[_sketch(v) for v in sets])
 
-    prints = named.mapInPandas(run, "doc_id string, h long, size int, keys array<long>").withColumn("doc_id", F.col("doc_id").cast(kind))
+    prints = named.mapInPandas(run, "doc_id string, h long, size int, keys array<long>, bits binary").withColumn("doc_id", F.col("doc_id").cast(kind))
     prints = materialize(prints, "prints")
-    nodes = materialize(prints.groupBy("h").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("keys").alias("keys")), "texts")
+    nodes = materialize(prints.groupBy("h").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("size", "keys", "bits")]), "texts")
     rows = nodes.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
     buckets = max(256, rows // BUCKET_ROWS)
     lists = nodes.select("h", "size", F.posexplode("keys").alias("pos", "key")).withColumn("b", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
@@ -416,12 +453,12 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> Dat
         return materialize(met.distinct(), "candidates")
 
     tried = meet(lists.withColumn("label", F.col("h")), False)
-    sure = materialize(_alike(tried, named, nodes, similarity, words), "links")
+    sure = materialize(_alike(_possible(tried, nodes, similarity), named, nodes, similarity, words), "links")
     roots = materialize(connected_components(sure, "u", "v"), "roots")
     to = roots.select(F.col("node").alias("h"), "root")
     to = F.broadcast(to) if small_enough(to, BROADCAST_ROWS) else to
     rest = meet(lists.join(to, "h", "left").withColumn("label", F.coalesce("root", "h")).drop("root"), True)
-    rest = materialize(rest.join(tried, ["u", "v"], "left_anti"), "others")
+    rest = _possible(materialize(rest.join(tried, ["u", "v"], "left_anti"), "others"), nodes, similarity)
     if not rest.isEmpty():
         more = materialize(_alike(rest, named, nodes, similarity, words), "links")
         roots = materialize(connected_components(sure.unionByName(more), "u", "v"), "roots")

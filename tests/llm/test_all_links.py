@@ -37,3 +37,26 @@ def test_every_link_is_found(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(5)
     got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
     assert got == dict(enumerate(label)) and len(set(label)) < len(rows) - 80
+
+
+def test_only_texts_that_may_be_alike_are_moved_whole(spark, monkeypatch):
+    """Texts that share a line and little else are candidates, but their sets of shingles stay where they are."""
+    monkeypatch.setattr(simhash, "COMMON", 10_000)
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(3000)]
+    line = " ".join(words[:9])
+    rows = [" ".join([line, *rng.choices(words, k=rng.choice((3, 40, 300)))]) for _ in range(80)]
+    rows += [rows[k] + " more" for k in range(0, 80, 4)]
+    sets = [{" ".join(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in rows]
+    alike = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    moved, whole = [], simhash._alike
+
+    def spy(pairs, *rest):
+        moved.append(pairs.count())
+        return whole(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "_alike", spy)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    assert all(got[a] == got[b] for a, b in alike) and len(set(got.values())) == 80
+    assert 0 < sum(moved) <= 2 * len(alike)
