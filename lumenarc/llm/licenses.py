@@ -2,7 +2,8 @@
 
 Every file's whole text is scanned. Where words of licensing occur, runs of sentences around them are compared to the
 templates; the best cosine names the license. An SPDX tag names it outright. A file whose name says that it is a license file also speaks for its
-directory: files without a notice of their own take the license of the nearest directory above them that has one.
+directory: files without a notice of their own take the license of the nearest directory above them that has one. Where
+names say nothing, files whose whole text is a notice can count as license files.
 """
 
 from __future__ import annotations
@@ -213,12 +214,22 @@ def detect(text: str | None, t: Templates) -> tuple[float, str | None]:
     return best[name], name
 
 
-def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", keep: list[str] | None = None, least: float = LEAST_COSINE) -> DataFrame:
+def all_notice(text: str, t: Templates, least: float = LEAST_COSINE) -> bool:
+    """True if a text as a whole, all its words, is as near to a template as a notice has to be."""
+    words = _WORD.findall(text.lower())
+    if len(words) > 1.5 * t.longest:
+        return False
+    run = _Run(t)
+    run.add(words)
+    return run.best()[0] >= least
+
+
+def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", keep: list[str] | None = None, least: float = LEAST_COSINE, by_content: bool = False) -> DataFrame:
     """(path, license, score, origin, inherited_from) for each row of files, and the columns in keep.
 
     origin is `file` for a notice of the file's own, `directory` for one inherited, `none` else. score is the cosine of
     the notice, also of the inherited one. Of several license files in a directory the best cosine holds, ties to the
-    first name. A null path has no directory and inherits nothing; a null or empty text has no notice. Rows that repeat
+    first name. With `by_content` a file whose whole text is a notice is a license file too; those called so go first. A null path has no directory and inherits nothing; a null or empty text has no notice. Rows that repeat
     come back as often. Other columns are not read; an empty table gives an empty result.
     """
     keep = [c for c in keep or [] if c != "path"]
@@ -227,15 +238,17 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", keep:
         known = templates()
         for x in by_size(batches, "_text"):
             found = [detect(t, known) for t in x["_text"]]
-            yield plain(x.drop(columns="_text").assign(_own=[n if s >= least else None for s, n in found], _score=[float(s) for s, _ in found]))
+            speaks = [by_content and s >= least and all_notice(t, known, least) for (s, _), t in zip(found, x["_text"], strict=True)]
+            yield plain(x.drop(columns="_text").assign(_own=[n if s >= least else None for s, n in found], _score=[float(s) for s, _ in found], _speaks=speaks))
 
     named = files.select(*keep, F.col(path_col).alias("path"), F.col(text_col).alias("_text"))
     kept = ", ".join(f"`{c}` {t}" for c, t in named.drop("_text").dtypes)
-    rows = named.mapInPandas(run, f"{kept}, _own string, _score double")
+    rows = named.mapInPandas(run, f"{kept}, _own string, _score double, _speaks boolean")
     rows = rows.withColumn("_dir", F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).withColumn("_name", F.regexp_extract("path", r"([^/]*)$", 1))
     rows = materialize(rows, "notices")
-    dirs = rows.filter(F.col("_own").isNotNull() & F.col("_name").rlike(LICENSE_FILE))
-    dirs = dirs.groupBy("_dir").agg(F.min(F.struct((-F.col("_score")).alias("s"), "_name", F.col("_own").alias("own"))).alias("b"))
+    called = F.col("_name").rlike(LICENSE_FILE)
+    dirs = rows.filter(F.col("_own").isNotNull() & F.col("path").isNotNull() & (called | F.col("_speaks")))
+    dirs = dirs.groupBy("_dir").agg(F.min(F.struct((~called).alias("f"), (-F.col("_score")).alias("s"), "_name", F.col("_own").alias("own"))).alias("b"))
     dirs = dirs.select(F.col("_dir").alias("_up"), F.col("b.own").alias("_got"), (-F.col("b.s")).alias("_got_score"))
     # only directories are joined, each once: a directory with a third of all files is one row
     own = rows.filter(F.col("path").isNotNull()).select("_dir").distinct()

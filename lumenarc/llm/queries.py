@@ -18,10 +18,15 @@ def op1_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as files: the source and the language are directories, the id is the file's name."""
+    """documents as files: the source and the language are directories, the id is the file's name.
+
+    No name says that a file is a license file, so a document whose whole text is a notice is one.
+    Documents without a source have no path, since nothing says that they belong together.
+    """
     docs = _read(spark, sf_dir, "documents")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("_")), F.coalesce("lang", F.lit("_")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    return licenses.scan(docs.withColumn("path", path), keep=["doc_id"])
+    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("_")), F.lit(".txt"))
+    path = F.concat("source", F.lit("/"), F.coalesce("lang", F.lit("_")), F.lit("/"), name)
+    return licenses.scan(docs.withColumn("path", path), keep=["doc_id"], by_content=True)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from lumenarc.llm import licenses
+from lumenarc.llm import licenses, queries
 
 GNU = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU {}General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
 BSD = "Copyright (c) 2020, Someone\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n\n{}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\"\nAND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."
@@ -59,3 +59,19 @@ def slow_cosines(text):
 @pytest.mark.parametrize("text", ["One. Released under the MIT License. Two words.", "A b c. License: ISC\nfoo", "Licensed under CC BY 4.0. And more. Then again: Apache License 2.0."])
 def test_cosine_by_brute_force(text):
     assert licenses.detect(text, licenses.templates())[0] == pytest.approx(slow_cosines(text))
+
+
+def test_query_inherits_from_a_document_that_is_all_notice(spark, tmp_path):
+    """A document of nothing but a notice speaks for its source and language; prose that ends in one does not."""
+    prose = "She went down to the river and looked for the boat that was not there. "
+    rows = [
+        (1, "Licensed under the Apache License, Version 2.0.", "en", "a"), (2, prose, "en", "a"), (3, prose, "de", "a"), (4, None, "en", "a"), (5, prose + "Released under the MIT License.", "en", "a"),
+        (6, prose * 3 + "Released under the MIT License.", "en", "b"), (7, prose, "en", "b"), (8, "Not licensed under the MIT License.", "fr", "b"), (9, prose, "fr", "b"), (10, "Released under the MIT License.", None, None), (11, "", None, None),
+    ]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.license, r.origin, r.inherited_from) for r in queries.op2_licenses(spark, str(tmp_path)).collect()}
+    none, apache = (None, "none", None), ("Apache-2.0", "directory", "a/en")
+    mit = ("MIT", "file", None)
+    assert got == {1: ("Apache-2.0", "file", None), 2: apache, 3: none, 4: apache, 5: mit, 6: mit, 7: none, 8: none, 9: none, 10: mit, 11: none}
+    files = spark.createDataFrame([("a/LICENSE-x", "See the file for details of the thing. Released under the MIT License."), ("a/b", rows[0][1]), ("a/c", ""), (None, rows[0][1])], "path string, text string")
+    assert {(r.path, r.license) for r in licenses.scan(files, by_content=True).collect()} == {("a/LICENSE-x", "MIT"), ("a/b", "Apache-2.0"), ("a/c", "MIT"), (None, "Apache-2.0")}
