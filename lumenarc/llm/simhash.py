@@ -32,6 +32,8 @@ KEY_ROWS = 2_000_000
 COMMON, COMMON_ROWS = 32, 500_000
 #: Rows of shingle lists, and pairs of texts, that a group of a task holds, about.
 BUCKET_ROWS, PART_PAIRS = 250_000, 20_000
+#: Texts, and members of their sets, of a block of a large class, about; classes of over SPLIT texts are up to SPARE blocks.
+BLOCK_TEXTS, BLOCK_MEMBERS, SPLIT, SPARE = 2_048, 2_000_000, 256, 8
 
 
 def simhash(text: str | None, shingle: int = 4) -> int:
@@ -300,19 +302,19 @@ def _bounds(*keys: np.ndarray) -> np.ndarray:
     return np.repeat(cuts[1:], np.diff(cuts))
 
 
-def _meetings(x: pd.DataFrame, similarity: float, every: bool) -> pd.DataFrame:
-    """Pairs (u, v) of texts that share a key and may be that similar by their sizes and the key's places.
+def _met(x: pd.DataFrame, similarity: float, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (i, j) of x whose texts share a key and may be that similar by their sizes and the key's places, in parts.
 
     With `every` all pairs of different labels; else each text and the next one, in an order that differs from key to key.
     """
     key, h, size, pos, label = (x[c].to_numpy() for c in ("key", "h", "size", "pos", "label"))
     mixed = (h.view(np.uint64) ^ key.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
     order = np.lexsort((h, label, key) if every else (h, mixed, key))
-    key, h, size, pos, label = key[order], h[order], size[order].astype(np.int64), pos[order].astype(np.int64), label[order]
+    key, size, pos, label = key[order], size[order].astype(np.int64), pos[order].astype(np.int64), label[order]
     end, first = _bounds(key), _bounds(key, label) if every else np.arange(1, len(key) + 1)
     reach = end - first if every else np.minimum(end - first, 1)
     total = np.cumsum(reach)
-    parts, at = [pd.DataFrame({"u": h[:0], "v": h[:0]})], 0
+    at = 0
     while at < len(key):
         stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 2_000_000, "right")))
         n = reach[at:stop]
@@ -321,21 +323,91 @@ def _meetings(x: pd.DataFrame, similarity: float, every: bool) -> pd.DataFrame:
         low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
         most = 1 + np.minimum(pos[i], pos[j]) + np.minimum(size[i] - pos[i] - 1, size[j] - pos[j] - 1)
         ok = (low >= similarity * high - 1e-9) & (most >= similarity / (1 + similarity) * (low + high) - 1e-9)
-        i, j = i[ok], j[ok]
-        parts.append(pd.DataFrame({"u": np.minimum(h[i], h[j]), "v": np.maximum(h[i], h[j])}).drop_duplicates())
+        yield order[i[ok]], order[j[ok]]
         at = stop
+
+
+def _neighbours(x: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """Pairs (u, v) of texts next to each other in a key's list that may be that similar."""
+    h = x["h"].to_numpy()
+    parts = [pd.DataFrame({"u": h[:0], "v": h[:0]})]
+    for i, j in _met(x, similarity, False):
+        parts.append(pd.DataFrame({"u": np.minimum(h[i], h[j]), "v": np.maximum(h[i], h[j])}).drop_duplicates())
     return pd.concat(parts).drop_duplicates()
 
 
-def _sketch(own: np.ndarray) -> bytes:
+def _unsettled(x: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """The rows of x that share a key with a text of another label that may be that similar."""
+    seen = np.zeros(len(x), bool)
+    for i, j in _met(x, similarity, True):
+        seen[i] = seen[j] = True
+    return x[seen]
+
+
+def _merged(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest members of classes after each a[k] and b[k] are in one; root holds those before."""
+    while len(a):
+        x, y = root[a], root[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        parent = np.arange(len(root))
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        root = parent[root]
+    return root
+
+
+def _joined(x: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """Edges (u, v) from texts to the smallest of their class: texts whose sketches allow a link are in one class.
+
+    They stand for all pairs of different labels in x, and are no more than its texts.
+    """
+    names, node = np.unique(x["h"].to_numpy(), return_inverse=True)
+    size, bits, root = x["size"].to_numpy(np.int64), x["bits"].tolist(), np.arange(len(names))
+    for i, j in _met(x, similarity, True):
+        new = root[node[i]] != root[node[j]]
+        i, j = i[new], j[new]
+        ok = _apart(bits, i, j) <= (1 - similarity) / (1 + similarity) * (size[i] + size[j]) + 1e-6
+        root = _merged(root, node[i[ok]], node[j[ok]])
+    moved = root != np.arange(len(names))
+    return pd.DataFrame({"u": names[moved], "v": names[root[moved]]})
+
+
+def _sketch(own: np.ndarray, times: int = 1) -> bytes:
     """A bit for each of so many parts of all hashes: whether an odd number of the set's are in it.
 
-    Of n hashes it has the next power of two bits, 64 at least; folded, it is the sketch of half as many parts.
+    Of n hashes it has the next power of two bits, 64 at least, with `times` that of so many times n; folded, it is the
+    sketch of half as many parts.
     """
-    bits = 1 << max(6, (len(own) - 1).bit_length())
+    bits = 1 << max(6, (times * len(own) - 1).bit_length())
     return np.packbits((np.bincount(own & (bits - 1), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
+def _folded(a: bytes, width: int) -> np.ndarray:
+    """A sketch as the words of one of that many bytes."""
+    x = np.frombuffer(a, np.uint64)
+    while 8 * len(x) > width:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def _apart(bits: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """In how many bits the sketches i and j differ, pair by pair, as _differing() says of one."""
+    width = np.fromiter(map(len, bits), np.int64, len(bits))
+    least, out = np.minimum(width[i], width[j]), np.zeros(len(i), np.int64)
+    for w in np.unique(least):
+        at = np.flatnonzero(least == w)
+        used = np.zeros(len(bits), bool)
+        used[i[at]] = used[j[at]] = True
+        rows, place = np.stack([_folded(bits[k], w) for k in np.flatnonzero(used)]), np.cumsum(used) - 1
+        step = max(1, 4_000_000 // rows.shape[1])
+        for k in range(0, len(at), step):
+            part = at[k : k + step]
+            out[part] = np.bitwise_count(rows[place[i[part]]] ^ rows[place[j[part]]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def _differing(a: bytes, b: bytes) -> int:
     """In how many bits two sketches differ, the larger one folded; the sets differ in so many shingles at least."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -366,12 +438,13 @@ def _possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
     return materialize(dealt.groupBy("g").cogroup(sketches.groupBy("g")).applyInPandas(decide, "u long, v long"), "possible")
 
 
-def _alike(pairs: DataFrame, named: DataFrame, nodes: DataFrame, similarity: float, words: int) -> DataFrame:
-    """The pairs (u, v) of texts, by their hashes h in named, whose whole sets of shingles are that similar.
+def _linked(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common >= similarity * (len(a) + len(b) - common)
 
-    A set goes to each part of the pairs that needs it once, however many pairs it stands in there.
-    """
-    dealt, need = _needed(pairs)
+
+def _with_sets(need: DataFrame, named: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """The rows of need, by their texts' hashes h in named, with s, the whole set of shingles; a row may come twice."""
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in by_size(batches, "t"):
@@ -389,17 +462,76 @@ def _alike(pairs: DataFrame, named: DataFrame, nodes: DataFrame, similarity: flo
         # copies become one a task before anything is dealt out by text, so that a text that many rows have is no single task
         texts = named.groupBy("h").agg(F.first("t").alias("t")).join(ids, "h", "left_semi")
         sets = materialize(texts.mapInPandas(whole, "h long, s array<long>"), "sets")
+    return sets.join(need, "h")
+
+
+def _alike(pairs: DataFrame, named: DataFrame, nodes: DataFrame, similarity: float, words: int) -> DataFrame:
+    """The pairs (u, v) of texts, by their hashes h in named, whose whole sets of shingles are that similar.
+
+    A set goes to each part of the pairs that needs it once, however many pairs it stands in there.
+    """
+    dealt, need = _needed(pairs)
 
     def decide(p: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         held = dict(zip(x["h"], x["s"], strict=True))
-        sure = np.zeros(len(p), bool)
-        for k, (u, v) in enumerate(zip(p["u"], p["v"], strict=True)):
-            a, b = held[u], held[v]
-            common = len(np.intersect1d(a, b, assume_unique=True))
-            sure[k] = common >= similarity * (len(a) + len(b) - common)
-        return p.loc[sure, ["u", "v"]]
+        sure = [_linked(held[u], held[v], similarity) for u, v in zip(p["u"], p["v"], strict=True)]
+        return p.loc[np.array(sure, bool), ["u", "v"]]
+
+    sets = _with_sets(need, named, nodes, words)
+    return dealt.groupBy("g").cogroup(sets.groupBy("g")).applyInPandas(decide, "u long, v long")
 
-    return dealt.groupBy("g").cogroup(sets.join(need, "h").groupBy("g")).applyInPandas(decide, "u long, v long")
+
+def _tree(x: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """Links (u, v) of the texts of x that join the same labels as all its links do, one less than labels at most.
+
+    Of two blocks only pairs across are looked at. Sketches of more bits, made here, rule out most others.
+    """
+    x = x.drop_duplicates("h")
+    h, side, sets = x["h"].to_numpy(), x["side"].to_numpy(), x["s"].tolist()
+    across = (x["a"] != x["b"]).any()
+    label = np.unique(x["label"].to_numpy(), return_inverse=True)[1]
+    size, bits = np.fromiter(map(len, sets), np.int64, len(sets)), [_sketch(v, 8) for v in sets]
+    ends, step = [], max(1, 500_000 // max(1, len(h)))
+    for k in range(0, len(h), step):
+        i, j = np.nonzero(label[k : k + step, None] != label[None, :])
+        i += k
+        low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+        ok = (i < j) & (low >= similarity * high - 1e-9)
+        if across:
+            ok &= side[i] != side[j]
+        i, j = i[ok], j[ok]
+        apart = _apart(bits, i, j)
+        near = np.flatnonzero(apart <= (1 - similarity) / (1 + similarity) * (size[i] + size[j]) + 1e-6)
+        near = near[np.argsort(apart[near], kind="stable")]
+        for a, b in zip(i[near].tolist(), j[near].tolist(), strict=True):
+            if label[a] != label[b] and _linked(sets[a], sets[b], similarity):
+                label[label == label[b]] = label[a]
+                ends.append((a, b))
+    u, v = np.array(ends, np.int64).reshape(-1, 2).T
+    return pd.DataFrame({"u": h[u], "v": h[v]})
+
+
+def _remaining(lists: DataFrame, to: DataFrame, named: DataFrame, nodes: DataFrame, similarity: float, words: int) -> DataFrame | None:
+    """(u, v): links that join the same texts as all links between different labels of `to` (h, root) do; None if none may be.
+
+    No row is made of a pair. A task that holds a shingle's list says only which texts may be linked directly or through
+    others; each of these classes then meets with whole sets, a large one as pairs of blocks, a task of its own each.
+    """
+    labelled = lists.join(to, "h", "left").withColumn("label", F.coalesce("root", "h")).drop("root")
+    left = materialize(labelled.groupBy("b").applyInPandas(lambda x: _unsettled(x, similarity), labelled.schema), "unsettled")
+    sketches = left.join(nodes.select("h", "bits"), "h")
+    near = materialize(sketches.groupBy("b").applyInPandas(lambda x: _joined(x, similarity), "u long, v long"), "near")
+    if near.isEmpty():
+        return None
+    classes = connected_components(near, "u", "v").select(F.col("node").alias("h"), F.col("root").alias("q"))
+    classes = materialize(classes.join(nodes.select("h", "size"), "h").join(to, "h", "left").withColumn("label", F.coalesce("root", "h")).drop("root"), "near_classes")
+    n = F.count("*")
+    blocks = F.greatest(F.ceil(n / BLOCK_TEXTS), F.ceil(F.sum("size") / BLOCK_MEMBERS), F.least(F.ceil(n / SPLIT), F.lit(SPARE)))
+    large = classes.groupBy("q").agg(blocks.cast("int").alias("blocks")).filter("blocks > 1")
+    dealt = classes.join(F.broadcast(large), "q", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("h"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    need = materialize(dealt.select("q", "h", "label", "side", F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b")), "needed")
+    return _with_sets(need, named, nodes, words).groupBy("q", "a", "b").applyInPandas(lambda x: _tree(x, similarity), "u long, v long")
 
 
 def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
@@ -408,8 +540,9 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> Dat
     Two texts are linked if their sets of shingles of `words` words have that Jaccard similarity. Every such link counts: two
     sets of it share one of their first shingles, in any one order of all shingles, and those are n - ceil(similarity * n) + 1
     of n. Shingles that many texts share stand last in that order. Each distinct text stands once. Pairs that are next to
-    each other in a shingle's list are decided first; then all others whose texts are not yet in one component. Pairs that
-    the texts' sketches rule out are left; whole sets decide of the others, so no link is wrong and none is lost.
+    each other in a shingle's list are decided first; then all others whose texts are not yet in one component, without a row
+    for each of them. Pairs that the texts' sketches rule out are left; whole sets decide of the others, so no link is wrong,
+    and all texts that links connect are in one component.
 
     component_id is the smallest doc_id that a row reaches, its own included. Texts without words, null ones too, are alike.
     Repeated rows come back as often; a row with a null doc_id links others. Other columns are not read.
@@ -448,19 +581,14 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> Dat
 
     lists = materialize(lists.groupBy("b").applyInPandas(several, lists.schema), "lists")
 
-    def meet(rows: DataFrame, every: bool) -> DataFrame:
-        met = rows.groupBy("b").applyInPandas(lambda x: _meetings(x, similarity, every), "u long, v long")
-        return materialize(met.distinct(), "candidates")
-
-    tried = meet(lists.withColumn("label", F.col("h")), False)
+    tried = lists.withColumn("label", F.col("h")).groupBy("b").applyInPandas(lambda x: _neighbours(x, similarity), "u long, v long")
+    tried = materialize(tried.distinct(), "candidates")
     sure = materialize(_alike(_possible(tried, nodes, similarity), named, nodes, similarity, words), "links")
     roots = materialize(connected_components(sure, "u", "v"), "roots")
     to = roots.select(F.col("node").alias("h"), "root")
-    to = F.broadcast(to) if small_enough(to, BROADCAST_ROWS) else to
-    rest = meet(lists.join(to, "h", "left").withColumn("label", F.coalesce("root", "h")).drop("root"), True)
-    rest = _possible(materialize(rest.join(tried, ["u", "v"], "left_anti"), "others"), nodes, similarity)
-    if not rest.isEmpty():
-        more = materialize(_alike(rest, named, nodes, similarity, words), "links")
+    more = _remaining(lists, F.broadcast(to) if small_enough(to, BROADCAST_ROWS) else to, named, nodes, similarity, words)
+    if more is not None:
+        more = materialize(more, "links")
         roots = materialize(connected_components(sure.unionByName(more), "u", "v"), "roots")
     joined = materialize(roots.join(nodes.select("h", "rep"), roots.node == nodes.h).select("h", "root", "rep"), "joined")
     least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))

@@ -60,3 +60,38 @@ def test_only_texts_that_may_be_alike_are_moved_whole(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
     assert all(got[a] == got[b] for a, b in alike) and len(set(got.values())) == 80
     assert 0 < sum(moved) <= 2 * len(alike)
+
+
+def test_rows_of_a_group_of_near_copies_grow_with_it(spark, monkeypatch):
+    """Copies with a few other words each, most pairs of which are just not alike: no table has a row for each pair."""
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(3000)]
+    base = words[:150]
+    rows = []
+    for k in range(480):
+        t = list(base)
+        for at in rng.sample(range(150), 1 + k % 5):
+            t[at] = rng.choice(words)
+        rows.append(" ".join(t))
+    sets = [{" ".join(t.split()[k : k + 5]) for k in range(146)} for t in rows]
+    links = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    label = list(range(len(rows)))
+    was = None
+    while label != was:
+        was = list(label)
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    made, write = {}, simhash.materialize
+
+    def spy(df, name):
+        out = write(df, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", spy)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()} == dict(enumerate(label))
+    assert 100 < len(set(label)) < len(rows) - 100 and max(made.values()) <= 31 * len(rows), made
+    # classes cut into many blocks give the same
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", 60)
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()} == dict(enumerate(label))
